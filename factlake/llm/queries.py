@@ -7,8 +7,55 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing
+from . import chat_format, license_scan, mixing, quality_rules, url_filter
 from .common import read
+from .license_texts import EQUIVALENT, KNOWN
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(read(spark, sf_dir, "documents"))
+    return found.withColumn("line_licenses", F.array_join("line_licenses", ","))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+OP1_SQL = f"""
+WITH known(license_id, text) AS (VALUES {", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in KNOWN)}),
+same AS (SELECT MAP {{{", ".join(f"{_quoted(a)}: {_quoted(b)}" for a, b in EQUIVALENT)}}} AS m),
+texts AS (
+  SELECT 'known' AS kind, NULL::BIGINT AS doc_id, license_id, text FROM known
+  UNION ALL SELECT 'doc', doc_id, NULL, coalesce(text, '') FROM documents
+  UNION ALL SELECT 'line', doc_id, NULL, unnest(string_split(coalesce(text, ''), chr(10))) FROM documents
+), bare AS (
+  SELECT kind, doc_id, license_id,
+    ' ' || trim(regexp_replace(regexp_replace(lower(text), {_quoted(license_scan.COPYRIGHT)}, chr(10), 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS b
+  FROM texts
+), joined AS (
+  SELECT kind, doc_id, license_id, trim({"replace(" * len(license_scan.PARTED)}b{"".join(f", ' {a}', ' {b}')" for a, b in license_scan.PARTED)}) AS b FROM bare
+), forms AS (
+  SELECT kind, doc_id, license_id, sha256(array_to_string(list_transform(string_split(b, ' '), lambda w: coalesce(m[w], w)), ' ')) AS digest
+  FROM joined, same
+), digests AS (SELECT digest, min(license_id) AS license_id FROM forms WHERE kind = 'known' AND digest != sha256('') GROUP BY digest),
+lines AS (
+  SELECT f.doc_id, string_agg(DISTINCT d.license_id, ',' ORDER BY d.license_id) AS line_licenses
+  FROM forms f JOIN digests d USING (digest) WHERE kind = 'line' GROUP BY f.doc_id
+)
+SELECT f.doc_id, f.digest, d.license_id, coalesce(l.line_licenses, '') AS line_licenses
+FROM forms f LEFT JOIN digests d ON f.digest = d.digest LEFT JOIN lines l ON l.doc_id IS NOT DISTINCT FROM f.doc_id
+WHERE kind = 'doc'
+"""
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read(spark, sf_dir, "documents"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return url_filter.judge(pages, pages.join(labels, "page_id").select("url", "bad"))
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,8 +139,11 @@ FROM rated
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
+    "op6_quality_rules": op6_quality_rules,
+    "op8_url_filter": op8_url_filter,
     "op9_chat_format": op9_chat_format,
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {"op9_chat_format": OP9_SQL, "op10_mixing": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_license_scan": OP1_SQL, "op9_chat_format": OP9_SQL, "op10_mixing": OP10_SQL}
