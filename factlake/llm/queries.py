@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, license_scan, mixing, quality_rules, url_filter
-from .common import read
+from . import chat_format, fingerprints, license_scan, mixing, quality_rules, simhash_dedup, url_filter
+from .common import kept, read
 from .license_texts import EQUIVALENT, KNOWN
+from .votes import hex64
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +49,32 @@ WHERE kind = 'doc'
 """
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = kept(fingerprints.fingerprint_edited(read(spark, sf_dir, "documents")))
+    hi, lo = F.col("hi"), F.col("lo")
+    least = rows.groupBy("k").agg(F.min(F.struct("hi", "lo")).alias("f"))
+    following = least.select(F.col("k").alias("next_k"), F.col("f.hi").alias("nhi"), F.col("f.lo").alias("nlo"))
+    prints = rows.groupBy("hi", "lo").agg(F.count("*").alias("n"))
+    asked = (F.col("k") % 20 == 0) & (F.col("k") != fingerprints.NULL_ID)
+    found = fingerprints.find_within(rows.where(asked).select("hi", "lo").distinct(), prints)
+    joined = rows.join(following, "next_k").join(found, ["hi", "lo"], "left")
+    return joined.select(
+        F.when(F.col("k") != fingerprints.NULL_ID, F.col("k")).alias("doc_id"),
+        "n_chars",
+        F.concat(*[hex64(F.col(f"s{i}")) for i in range(4)]).alias("edited_sha256"),
+        fingerprints.text(hi, lo).alias("fingerprint"),
+        fingerprints.text(F.col("ehi"), F.col("elo")).alias("edited_fingerprint"),
+        fingerprints.likeness(hi, lo, F.col("ehi"), F.col("elo")).alias("near_edited"),
+        fingerprints.likeness(hi, lo, F.col("nhi"), F.col("nlo")).alias("near_next"),
+        F.when(asked, F.col("n")).alias("n_within_3"),
+    )
+
+
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup.find_near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
@@ -140,6 +167,8 @@ FROM rated
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op3_fingerprints": op3_fingerprints,
+    "op4_simhash_dedup": op4_simhash_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op8_url_filter": op8_url_filter,
     "op9_chat_format": op9_chat_format,
