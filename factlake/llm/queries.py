@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprints, license_scan, mixing, quality_rules, simhash_dedup, url_filter
+from . import bpe, chat_format, fingerprints, license_scan, mixing, quality_rules, simhash_dedup, url_filter
 from .common import kept, read
 from .license_texts import EQUIVALENT, KNOWN
 from .votes import hex64
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the installed public tokenizer file is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(read(spark, sf_dir, "documents"))
     return found.withColumn("line_licenses", F.array_join("line_licenses", ","))
@@ -75,6 +82,10 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
@@ -169,6 +180,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op3_fingerprints": op3_fingerprints,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op5_bpe": op5_bpe,
     "op6_quality_rules": op6_quality_rules,
     "op8_url_filter": op8_url_filter,
     "op9_chat_format": op9_chat_format,
