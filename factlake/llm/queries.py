@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, fingerprints, license_scan, mixing, quality_rules, simhash_dedup, url_filter
+from . import bpe, chat_format, fingerprints, license_scan, mixing, quality_crf, quality_rules, simhash_dedup, toxicity, url_filter
 from .common import kept, read
 from .license_texts import EQUIVALENT, KNOWN
+from .samples import fold
 from .votes import hex64
 
 
@@ -56,6 +57,13 @@ WHERE kind = 'doc'
 """
 
 
+def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")
+    scored = quality_crf.score(docs, quality_crf.learn(docs, labels))
+    held_out = (fold(3) == 1).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = kept(fingerprints.fingerprint_edited(read(spark, sf_dir, "documents")))
     hi, lo = F.col("hi"), F.col("lo")
@@ -64,7 +72,7 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = rows.groupBy("hi", "lo").agg(F.count("*").alias("n"))
     asked = (F.col("k") % 20 == 0) & (F.col("k") != fingerprints.NULL_ID)
     found = fingerprints.find_within(rows.where(asked).select("hi", "lo").distinct(), prints)
-    joined = rows.join(following, "next_k").join(found, ["hi", "lo"], "left")
+    joined = rows.join(following, "next_k").join(kept(found), ["hi", "lo"], "left")
     return joined.select(
         F.when(F.col("k") != fingerprints.NULL_ID, F.col("k")).alias("doc_id"),
         "n_chars",
@@ -90,6 +98,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, toxicity.learn(docs, labels))
+    held_out = (fold(4) == 2).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
@@ -178,10 +193,12 @@ FROM rated
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_quality_crf": op2_quality_crf,
     "op3_fingerprints": op3_fingerprints,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_bpe": op5_bpe,
     "op6_quality_rules": op6_quality_rules,
+    "op7_toxicity": op7_toxicity,
     "op8_url_filter": op8_url_filter,
     "op9_chat_format": op9_chat_format,
     "op10_mixing": op10_mixing,
