@@ -212,6 +212,13 @@ class WordBpe:
         return " ".join([self.strings[i] for i in ids if i in self.strings])
 
 
+def installed(name: str = "word_bpe_49k.json") -> str:
+    """Where the installed public tokenizer file is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def load(path: str) -> dict:
     """The tokenizer file, checked to be of the kind that WordBpe encodes exactly."""
     with open(path, encoding="utf-8") as file:

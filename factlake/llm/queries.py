@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import bpe, chat_format, fingerprints, license_scan, mixing, quality_crf, quality_rules, simhash_dedup, toxicity, url_filter
 from .common import kept, read
 from .license_texts import EQUIVALENT, KNOWN
@@ -14,18 +16,15 @@ from .samples import fold
 from .votes import hex64
 
 
-def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
-    """Where the installed public tokenizer file is."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(read(spark, sf_dir, "documents"))
     return found.withColumn("line_licenses", F.array_join("line_licenses", ","))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -91,7 +90,7 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(read(spark, sf_dir, "documents"), tokenizer_path())
+    return bpe.encode(read(spark, sf_dir, "documents"), bpe.installed())
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,6 +201,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_chat_format": op9_chat_format,
     "op10_mixing": op10_mixing,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {"op1_license_scan": OP1_SQL, "op9_chat_format": OP9_SQL, "op10_mixing": OP10_SQL}

@@ -21,13 +21,13 @@ from .quality_crf import pieces
 from .samples import fold, labelled
 
 #: Bounds of the sample that the network is fitted on.
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1200, 2000, 12_000
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1200, 2500, 12_000
 EPOCHS = 10
 THRESHOLD = 0.3
 
 WINDOW, STRIDE = 32, 16
 D, H, A = 8, 8, 8
-WORD_ROWS, GRAM_ROWS = 1 << 14, 1 << 15
+WORD_ROWS, GRAM_ROWS = 1 << 16, 1 << 18
 GRAMS = (3, 4, 5, 6)
 
 #: Share of words whose own vector is left out of a fitting step, so that n-grams must do.
@@ -52,12 +52,25 @@ def split(text: str) -> list[str]:
     return text.lower().split()
 
 
-def rows_of(word: str) -> tuple[int, list[int]]:
-    """Row of the word and rows of its character n-grams."""
-    bare = word.strip(EDGE) or word
-    marked = f"<{bare}>"
-    grams = [zlib.crc32(marked[i : i + n].encode("utf-8", "replace")) % GRAM_ROWS for n in GRAMS for i in range(max(1, len(marked) - n + 1))]
-    return zlib.crc32(bare.encode("utf-8", "replace")) % WORD_ROWS, grams
+def rows_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of each word, rows of all its n-grams one word after the other, number of n-grams of
+    each word). The n-grams are those of the word without marks at its edges, between < and >."""
+    if not words:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    bare = [w.strip(EDGE) or w for w in words]
+    word_rows = np.array([zlib.crc32(w.encode("utf-8", "replace")) for w in bare]) % WORD_ROWS
+    size = np.array([len(w) + 2 for w in bare])
+    points = np.frombuffer(f"<{'><'.join(bare)}>".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(points))
+    hashes, fits = np.empty((len(points), len(GRAMS)), np.uint32), np.empty((len(points), len(GRAMS)), bool)
+    padded = np.concatenate([points, np.zeros(max(GRAMS), np.uint32)])
+    for k, n in enumerate(GRAMS):
+        h = np.full(len(points), n, np.uint32)
+        for i in range(n):
+            h = (h ^ padded[i : i + len(points)]) * np.uint32(0x9E3779B1)
+            h ^= h >> np.uint32(15)
+        hashes[:, k], fits[:, k] = h % np.uint32(GRAM_ROWS), left >= n
+    return word_rows, hashes[fits].astype(np.int64), np.add.reduceat(fits.sum(1), np.cumsum(size) - size)
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
@@ -90,12 +103,12 @@ class Network:
             self.p |= {f"x{side}": start(D, 3 * H, scale=D**-0.5), f"h{side}": start(H, 3 * H, scale=H**-0.5), f"c{side}": np.zeros(3 * H, np.float32)}
         self.p |= {"u": start(2 * H, A, scale=0.3), "v": start(A, scale=0.3), "o": start(2 * H, scale=0.3), "k": np.full(1, -1.0, np.float32)}
 
-    def vectors(self, rows: list[tuple[int, list[int]]]) -> np.ndarray:
+    def vectors(self, word_rows: np.ndarray, grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Inputs of words from their rows."""
-        flat = np.array([g for _, grams in rows for g in grams], dtype=np.int64)
-        sizes = np.array([len(grams) for _, grams in rows])
-        sums = np.add.reduceat(self.p["grams"][flat], np.cumsum(sizes) - sizes, axis=0)
-        return self.p["words"][[w for w, _ in rows]] + sums / sizes[:, None].astype(np.float32)
+        if not len(sizes):
+            return np.empty((0, D), np.float32)
+        sums = np.add.reduceat(self.p["grams"][grams], np.cumsum(sizes) - sizes, axis=0)
+        return self.p["words"][word_rows] + sums / sizes[:, None].astype(np.float32)
 
     def gates(self, vectors: np.ndarray) -> dict[str, np.ndarray]:
         """What each word adds to the gates of either side; a row for "no word" comes first."""
@@ -178,8 +191,8 @@ class Network:
 class Reader:
     """Scores texts; remembers the gates of words it has met."""
 
-    def __init__(self, network: Network):
-        self.network = network
+    def __init__(self, network: Network, remembered: float = REMEMBERED):
+        self.network, self.remembered = network, remembered
         self.forget()
 
     def forget(self) -> None:
@@ -187,7 +200,7 @@ class Reader:
         self.gates = self.network.gates(np.empty((0, D), np.float32))
 
     def numbers(self, words: list[str]) -> np.ndarray:
-        if len(self.rows) > REMEMBERED:
+        if len(self.rows) > self.remembered:
             self.forget()
         rows, new = self.rows, []
         out = np.fromiter(map(rows.get, words, [0] * len(words)), dtype=np.int64, count=len(words))
@@ -198,7 +211,7 @@ class Reader:
                 new.append(word)
             out[i] = rows[word]
         if new:
-            more = self.network.gates(self.network.vectors([rows_of(w) for w in new]))
+            more = self.network.gates(self.network.vectors(*rows_of(new)))
             self.gates = {side: np.concatenate([self.gates[side], more[side][1:]]) for side in "fb"}
         return out
 
@@ -241,12 +254,10 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
     if not len(texts):
         return network
     words = sorted({w for t in texts for w in split(t)})
-    rows = [rows_of(w) for w in words]
-    reader = Reader(network)
+    word_rows, flat, sizes = rows_of(words)
+    ends = np.cumsum(sizes)
+    reader = Reader(network, remembered=float("inf"))  # the sample is bounded
     reader.rows = {w: i + 1 for i, w in enumerate(words)}
-    word_rows = np.array([w for w, _ in rows])
-    sizes = np.array([len(g) for _, g in rows])
-    flat, ends = np.array([g for _, gs in rows for g in gs]), np.cumsum(sizes)
     reader.gates = {side: np.zeros((len(words) + 1, 3 * H), np.float32) for side in "fb"}
     windows, n = reader.windows(texts)
     first = np.cumsum(n) - n
@@ -255,12 +266,13 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
     network.p["words"][:, 0] = leaning([np.unique(word_rows[x]) for x in of_text], labels, WORD_ROWS)
     grams_of = np.split(flat, ends[:-1])
     network.p["grams"][:, 0] = leaning([np.unique(np.concatenate([grams_of[w] for w in x])) if len(x) else x for x in of_text], labels, GRAM_ROWS)
-    m = {k: np.zeros_like(x) for k, x in network.p.items()}
-    v = {k: np.zeros_like(x) for k, x in network.p.items()}
+    above = [k for k in network.p if k not in ("words", "grams")]
+    m = {k: np.zeros_like(network.p[k]) for k in above}
+    v = {k: np.zeros_like(network.p[k]) for k in above}
     scale, step = {"words": 0.0, "grams": 0.0}, 0
     for epoch in range(epochs):
         chance = first + r.integers(0, 1 << 30, len(texts)) % n
-        vectors = network.vectors(rows)
+        vectors = network.vectors(word_rows, flat, sizes)
         if epoch == 0:
             odds = np.append(0, np.maximum(vectors[:, 0], 0))[windows].sum(1)
         else:
@@ -276,9 +288,8 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
             local = local.reshape(len(part), WINDOW) + (0 if none else 1)
             grams = np.concatenate([flat[ends[w] - sizes[w] : ends[w]] for w in used]) if len(used) else np.empty(0, dtype=np.int64)
             some = sizes[used]
-            sums = np.add.reduceat(network.p["grams"][grams], np.cumsum(some) - some, axis=0) if len(used) else np.empty((0, D), np.float32)
             seen = (r.random(len(used)) >= DROPPED).astype(np.float32)[:, None]
-            vectors = (seen * network.p["words"][word_rows[used]] + sums / some[:, None]).astype(np.float32)
+            vectors = network.vectors(word_rows[used], grams, some) - (1 - seen) * network.p["words"][word_rows[used]]
             odds, kept = network.read(local, network.gates(vectors), keep=True)
             loss = ((logistic(odds) - truth[part]) / len(part)).astype(np.float32)
             g, d_vectors = network.slopes(loss, kept, vectors)
