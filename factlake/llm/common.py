@@ -1,22 +1,16 @@
-"""Column helpers and storage that the operators of this subpackage share."""
+"""Column helpers that the operators of this subpackage share, and where results are kept."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import BROADCAST_ROWS, kept, read, shared_folder, stored
+
 #: White space as the word rule sees it: space, tab, line feed, vertical tab, form feed, return.
 SPACES = r"[\x20\x09-\x0D]+"
 
-#: A side of a join is broadcast only when it was counted and has at most this many rows.
-BROADCAST_ROWS = 50_000
-
-
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+__all__ = ["BROADCAST_ROWS", "fresh", "kept", "read", "shared_folder", "shingles", "sized_join", "stored", "whole", "words"]
 
 
 def whole(text: Column | str) -> Column:
@@ -43,21 +37,6 @@ def sized_join(left: DataFrame, right: DataFrame, on, how: str, rows: int) -> Da
     return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on, how)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where that is unset (local runs and tests) a
-    temporary folder is set."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factlake-"))
-    return context.getCheckpointDir()
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the shared checkpoint folder, lineage cut."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names for internal use that ``df`` doesn't have (Spark compares without case)."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -67,10 +46,3 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared checkpoint folder and read again."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)

@@ -68,9 +68,11 @@ def plan_mix(
     """Each row of ``docs`` with its size in words, its source's size and target, and its copies.
 
     Null texts have size 0; rows that share an id share the draw, so they are repeated alike; extra
-    columns stay, and ``names`` are given to the four new ones. Reruns give the same copies.
+    columns stay, but those with the ``names`` of the four new ones are replaced. An empty table
+    gives no rows. Reruns give the same copies.
     """
     s, ss, t, c = names
+    docs = docs.drop(*names)
     key, own = fresh(docs, "mix_source", "mix_size")
     sized = docs.withColumn(own, (F.size(words("text")) if size is None else size).cast("long"))
     sizes = sized.groupBy("source").agg(F.sum(own).alias("source_size"))

@@ -26,8 +26,9 @@ from .common import fresh, kept, shingles, sized_join, whole, words
 RADIUS = 3
 BITS = 64
 
-#: Distinct fingerprints that one bucket may hold before it is split further.
-BUCKET = 2048
+#: Distinct fingerprints that one bucket may hold before it is split further: 256 KB, and seconds of
+#: comparing at worst. A dense bucket is linked in few steps, as each step takes out what it finds.
+BUCKET = 32_768
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
