@@ -235,12 +235,11 @@ class Reader:
         return logistic(most.astype(np.float64))
 
 
-def leaning(rows_by_text: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
+def leaning(met: np.ndarray, n: np.ndarray) -> np.ndarray:
     """How much more often a row is met in toxic texts than in clean ones, as log odds shrunk
-    towards 0 for rows met in few texts. The first of a vector's numbers starts as this."""
-    met = np.stack([np.bincount(np.concatenate([np.empty(0, np.int64), *[x for x, y in zip(rows_by_text, labels, strict=True) if y == k]]), minlength=size) for k in (0, 1)])
-    n = np.bincount(labels, minlength=2)[:, None]
-    odds = np.log((met + 1) / (n + 2))
+    towards 0 for rows met in few texts; ``met`` counts texts by class and row, ``n`` by class.
+    The first of a vector's numbers starts as this."""
+    odds = np.log((met + 1) / (n[:, None] + 2))
     total = met.sum(0)
     return ((odds[1] - odds[0]) * total / (total + 8)).astype(np.float32)
 
@@ -260,12 +259,24 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
     reader.rows = {w: i + 1 for i, w in enumerate(words)}
     reader.gates = {side: np.zeros((len(words) + 1, 3 * H), np.float32) for side in "fb"}
     windows, n = reader.windows(texts)
+    windows = windows.astype(np.int32)
     first = np.cumsum(n) - n
-    of_text = [np.unique(windows[f : f + k]) for f, k in zip(first, n, strict=True)]
-    of_text = [x[x > 0] - 1 for x in of_text]
-    network.p["words"][:, 0] = leaning([np.unique(word_rows[x]) for x in of_text], labels, WORD_ROWS)
-    grams_of = np.split(flat, ends[:-1])
-    network.p["grams"][:, 0] = leaning([np.unique(np.concatenate([grams_of[w] for w in x])) if len(x) else x for x in of_text], labels, GRAM_ROWS)
+
+    def grams_of(some_words: np.ndarray) -> np.ndarray:
+        """Rows of the n-grams of the words, one word after the other."""
+        size = sizes[some_words]
+        shift = np.repeat(ends[some_words] - np.cumsum(size), size)
+        return flat[np.arange(len(shift)) + shift]
+
+    met = {"words": np.zeros((2, WORD_ROWS)), "grams": np.zeros((2, GRAM_ROWS))}
+    for f, k, label in zip(first, n, labels, strict=True):
+        own = np.unique(windows[f : f + k])
+        own = own[own > 0] - 1
+        met["words"][label, np.unique(word_rows[own])] += 1
+        met["grams"][label, np.unique(grams_of(own))] += 1
+    for part, counts in met.items():
+        network.p[part][:, 0] = leaning(counts, np.bincount(labels, minlength=2))
+    del met
     above = [k for k in network.p if k not in ("words", "grams")]
     m = {k: np.zeros_like(network.p[k]) for k in above}
     v = {k: np.zeros_like(network.p[k]) for k in above}
@@ -286,7 +297,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
             none = ids[0] == 0
             used = ids[1:] - 1 if none else ids - 1
             local = local.reshape(len(part), WINDOW) + (0 if none else 1)
-            grams = np.concatenate([flat[ends[w] - sizes[w] : ends[w]] for w in used]) if len(used) else np.empty(0, dtype=np.int64)
+            grams = grams_of(used)
             some = sizes[used]
             seen = (r.random(len(used)) >= DROPPED).astype(np.float32)[:, None]
             vectors = network.vectors(word_rows[used], grams, some) - (1 - seen) * network.p["words"][word_rows[used]]
