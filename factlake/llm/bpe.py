@@ -61,7 +61,10 @@ def latin(text: str) -> bool:
 
 
 #: Words and pairs that one worker remembers; beyond it the memory starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
+
+#: Code points beyond which a word isn't remembered.
+LONG = 100
 
 NEVER = float("inf")
 
@@ -125,7 +128,7 @@ class WordBpe:
         """
         known = self.fits.get((left, right))
         if known is None:
-            if len(self.fits) >= 4 * REMEMBERED:
+            if len(self.fits) >= 2 * REMEMBERED:
                 self.fits.clear()
             known = self.fits[left, right] = self.apart(left, right)
         return known
@@ -180,7 +183,8 @@ class WordBpe:
         got = (len(ids), " ".join(map(str, ids)), " ".join([self.strings[i] for i in ids]))
         if len(self.memory) >= REMEMBERED:
             self.memory.clear()
-        self.memory[word] = got
+        if len(word) <= LONG:
+            self.memory[word] = got
         return got
 
     def pieces(self, text: str) -> Iterator[tuple[int, str, str]]:
