@@ -109,7 +109,7 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str, str]
     alike; other columns are not used. An empty table gives no rows.
     """
     urls = pages.select("page_id", "url", tokens(F.col("url")).alias("items"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    met = match(pages.select("url"), mine(labelled, **options))
+    met = kept(match(pages.select("url"), mine(labelled, **options)))  # apart from the join, whose hot keys can then be split
     rule, verdict = explicit(rules)
     learned = F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     return urls.join(met, "items", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, learned).alias("verdict"), "confidence")
