@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .common import fresh, kept, whole, words
 
 SYMBOLS = r"[#*$%&|<>]+"
+#: A word of letters, inner marks and one stop at most.
+PLAIN = r"^[\"'(«“„]?\p{L}[\p{L}\p{M}'’\-]*[.,;:!?)\"'»”“]?$"
 WINDOW = 8
 ROUNDS = 40
 
@@ -25,12 +27,13 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """``docs`` with the BASE counts and n_lines, n_lettered, n_upper; text counts as empty if null.
+    """``docs`` with the BASE counts and n_lines, n_lettered, n_plain, n_again (words equal to
+    the one before), n_upper; text counts as empty if null.
 
     Repeated windows are found by the XXH64 of their 8 words: two different windows of one text
     would have to share a 64-bit hash to be taken for equal.
     """
-    (w, h, ln), names = fresh(docs, "rule_words", "rule_hashes", "rule_lines"), ["n_lines", "n_lettered", "n_upper", *BASE]
+    (w, h, ln), names = fresh(docs, "rule_words", "rule_hashes", "rule_lines"), ["n_lines", "n_lettered", "n_plain", "n_again", "n_upper", *BASE]
     text = whole("text")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     n = F.size(w)
@@ -45,6 +48,8 @@ def measures(docs: DataFrame) -> DataFrame:
             "word_chars": F.length(F.array_join(w, "")).cast("long"),
             "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long"),
             "n_lettered": F.size(F.filter(w, lambda x: x.rlike(r"\p{L}"))).cast("long"),
+            "n_plain": F.size(F.filter(w, lambda x: x.rlike(PLAIN))).cast("long"),
+            "n_again": F.size(F.filter(w, lambda x, i: x == F.get(F.col(w), i - 1))).cast("long"),
             "n_upper": (F.length(text) - F.length(F.regexp_replace(text, "[A-Z]+", ""))).cast("long"),
             "n_repeat_words": F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(F.col(h))).cast("long"),
         }
@@ -84,7 +89,9 @@ def rules() -> dict[str, Column]:
         "symbols": vote(some & (50 * F.col("n_symbols") <= n), some & (10 * F.col("n_symbols") > n)),
         "lines": vote((lines >= 2) & (F.col("n_dup_lines") == 0), 10 * F.col("n_dup_lines") > 3 * lines),
         "repeats": vote(some & (20 * F.col("n_repeat_words") <= n), 100 * F.col("n_repeat_words") > 30 * n),
+        "stutter": vote(some & (20 * F.col("n_again") <= n), 10 * F.col("n_again") > 3 * n),
         "letters": vote(some & (10 * F.col("n_lettered") >= 9 * n), some & (10 * F.col("n_lettered") < 7 * n)),
+        "plain": vote(some & (10 * F.col("n_plain") >= 9 * n), some & (10 * F.col("n_plain") < 7 * n)),
         "capitals": vote(some & (20 * F.col("n_upper") <= 3 * chars), some & (10 * F.col("n_upper") > 4 * chars)),
     }
 
@@ -145,15 +152,17 @@ def fit(patterns: DataFrame, n_rules: int, rounds: int = ROUNDS) -> DataFrame:
 def judge(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, the BASE counts, base_failed, quality (posterior) and kept, per row of ``docs``.
 
-    The counts are written once, then read for the vote patterns and for the verdicts. Null and
+    Accuracies are estimated on documents that pass the base rule, as the others are decided, and
+    their junk would be taken for all that is bad. The counts are written once, then read for the vote patterns and for the verdicts. Null and
     empty texts have no words, fail the base rule and aren't kept; repeated rows are judged alike;
     other columns are not used. An empty table gives no rows. The table of patterns that is
-    broadcast has at most 3 ** 7 = 2187 rows, whatever the input.
+    broadcast has at most 3 ** 9 = 19,683 rows, whatever the input.
     """
     votes = rules()
     counted = measures(docs.select("doc_id", "text")).drop("text").withColumn("votes", F.array(*votes.values()))
     counted = kept(counted.select("doc_id", *BASE, "votes"))
-    fitted = fit(counted.groupBy("votes").agg(F.count("*").alias("n")), len(votes), rounds)
+    open_cases = F.count(F.when(~base_failed(), 1)).alias("n")
+    fitted = fit(counted.groupBy("votes").agg(open_cases), len(votes), rounds)
     each = fitted.select("model", F.explode("patterns").alias("p"))
     verdicts = kept(each.select(F.col("p.votes").alias("pattern"), posterior(F.col("p.votes"), F.col("model"), len(votes)).alias("quality")))
     joined = counted.join(F.broadcast(verdicts), counted["votes"] == verdicts["pattern"], "left")
