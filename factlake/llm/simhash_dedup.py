@@ -60,10 +60,13 @@ def covering_masks(radius: int = RADIUS, bits: int = BITS, level: int = 0) -> li
 
 
 def tables(members: DataFrame, masks: list[int]) -> DataFrame:
-    """(fp, mask, key): each member once per mask; ``mask`` adds to the member's own."""
+    """(fp, mask, key): each member once per mask; ``mask`` adds to the member's own.
+
+    Members of several levels can come to the same mask by several ways: such rows are equal.
+    """
     each = F.explode(F.array(*[F.lit(m) for m in masks])).alias("more")
     out = members.select("fp", "mask", each).select("fp", F.col("mask").bitwiseOR(F.col("more")).alias("mask"))
-    return out.select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key")).distinct()
+    return out.select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
 
 
 def linked(fps: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
@@ -98,6 +101,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET)
     members, edges, level = distinct.select("fp", F.lit(0).cast("long").alias("mask")), [], 0
     while True:
         keyed = tables(members, covering_masks(radius, level=level))
+        keyed = keyed.distinct() if level else keyed
         counts = kept(keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1"))
         shared = keyed.join(counts, ["mask", "key"])
         small = shared.where(F.col("n") <= bucket).groupBy("mask", "key").agg(F.collect_list("fp").alias("fps"))
