@@ -70,7 +70,7 @@ def rows_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             h = (h ^ padded[i : i + len(points)]) * np.uint32(0x9E3779B1)
             h ^= h >> np.uint32(15)
         hashes[:, k], fits[:, k] = h % np.uint32(GRAM_ROWS), left >= n
-    return word_rows, hashes[fits].astype(np.int64), np.add.reduceat(fits.sum(1), np.cumsum(size) - size)
+    return word_rows, hashes[fits].astype(np.int32), np.add.reduceat(fits.sum(1), np.cumsum(size) - size)
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
