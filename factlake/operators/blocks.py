@@ -101,18 +101,24 @@ def blooms(blocks: DataFrame, p: float = 0.01) -> DataFrame:
     return sized.mapInPandas(parts, "block_id long, part binary, n long").groupBy("block_id").applyInPandas(joined, "block_id long, bloom binary, n long")
 
 
-def probe(bloom_rows: list, sid: int, p: float = 0.01) -> list[int]:
-    """Ids of blocks whose filter (block_id, bloom, n) may hold the sid."""
-    key = np.array([sid])
-    return [r["block_id"] for r in bloom_rows if bloom_contains(r["bloom"], key, *bloom_size(r["n"], p))[0]]
+def may_hold(filters: DataFrame, sids: list[int], p: float = 0.01) -> DataFrame:
+    """(sid, block_id) for each of a few sids and each block whose filter (block_id, bloom, n) may
+    hold it. Filters stay where they are; only the hits come out."""
+    keys = np.array(sids, dtype=np.int64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for block, bloom, n in zip(batch["block_id"], batch["bloom"], batch["n"], strict=True):
+                hit = keys[bloom_contains(bloom, keys, *bloom_size(int(n), p))]
+                yield pd.DataFrame({"sid": hit, "block_id": block})
+
+    return filters.select("block_id", "bloom", "n").mapInPandas(run, "sid long, block_id long")
 
 
 def get(blocks: DataFrame, filters: DataFrame, sid: int) -> tuple[DataFrame, Stats]:
-    """Rows of one sid, from the blocks whose Bloom filter may hold it. Filters are held on the
-    driver: one per block, of which there are as many as the store was built with."""
-    rows = filters.collect()
-    hit = probe(rows, sid)
-    return blocks.where(F.col("block_id").isin(hit) & (F.col("sid") == sid)), Stats(len(hit), len(rows))
+    """Rows of one sid, from the blocks whose Bloom filter may hold it."""
+    hit = [r["block_id"] for r in may_hold(filters, [sid]).collect()]
+    return blocks.where(F.col("block_id").isin(hit) & (F.col("sid") == sid)), Stats(len(hit), filters.count())
 
 
 def lower_bound(centroid, radius, query: Sequence[float]):

@@ -669,16 +669,14 @@ def block_bloom(spark, sf_dir):
 def bloom_probe(spark, sf_dir):
     """Blocks whose filter may hold each of 100 sids, and whether they do."""
     rows = by_label(spark, sf_dir)
-    filters = blocks.blooms(rows).collect()
-    hits = [(sid, b) for sid in range(100) for b in blocks.probe(filters, sid)]
-    maybe = spark.createDataFrame(hits, "sid bigint, block_id bigint")
+    maybe = blocks.may_hold(blocks.blooms(rows), list(range(100)))
     return maybe.join(rows.select("sid", F.col("block_id").alias("own")), "sid").select("sid", "block_id", (F.col("block_id") == F.col("own")).alias("holds"))
 
 
 @query(f"WITH {VEC} SELECT sid, category, seq FROM grains WHERE sid = 42")
 def block_get(spark, sf_dir):
     rows = kept(by_label(spark, sf_dir))
-    return blocks.get(rows, blocks.blooms(rows), 42)[0].select("sid", "category", "seq")
+    return blocks.get(rows, kept(blocks.blooms(rows)), 42)[0].select("sid", "category", "seq")
 
 
 @query(f"WITH {DIST} SELECT sid, round(sqrt(dist), 12) AS dist FROM dists ORDER BY dists.dist, sid LIMIT 10")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import idempotency, mvcc, sequence
+from ..operators import idempotency, sequence
 
 COMMITS = "n bigint, high bigint, batch_id bigint"
 
@@ -42,9 +42,8 @@ class FactLog:
 
     def stage(self, batch: DataFrame, batch_id: int) -> None:
         """First arrivals of new keys, numbered after the log's last, written but not recorded."""
-        before = self.read()
-        high = mvcc.high_watermark(before).first()["high"]
-        fresh = idempotency.unseen(batch, before)
+        high = self.commits().agg(F.coalesce(F.max("high"), F.lit(0))).first()[0]
+        fresh = idempotency.unseen(batch, self.read())
         numbered = sequence.number(fresh, ["arrival"], start=high + 1).drop("arrival")
         columns = [c for c in self.spark.createDataFrame([], self.schema).columns]
         numbered.select(*columns).write.mode("overwrite").parquet(f"{self.path}/rows/batch_id={batch_id}")
