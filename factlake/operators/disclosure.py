@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.codecs import grain_tokens
@@ -23,9 +23,13 @@ def ranked(result: DataFrame) -> DataFrame:
 def representatives(pinned: DataFrame, reps: int) -> DataFrame:
     """The first row of each band: the rows are cut into bands of ceil(n / min(reps, n)), so there
     may be fewer than ``reps``."""
+    return pinned.withColumn("_shown", shown(reps)).where("_shown").drop("_shown")
+
+
+def shown(reps: int) -> Column:
+    """Whether a ranked row is a representative."""
     n = F.count("*").over(Window.partitionBy())
-    band = F.ceil(n / F.least(F.greatest(F.lit(reps), F.lit(1)), n))
-    return pinned.withColumn("_band", band).where(F.col("rank") % F.col("_band") == 0).drop("_band")
+    return F.col("rank") % F.ceil(n / F.least(F.greatest(F.lit(reps), F.lit(1)), n)) == 0
 
 
 def summary(pinned: DataFrame, reps: int) -> DataFrame:
@@ -34,15 +38,16 @@ def summary(pinned: DataFrame, reps: int) -> DataFrame:
     Sharpness is the gap between the two best over the whole range, 1 for fewer than two rows; an
     empty result has zeros.
     """
-    shown = representatives(pinned, reps).agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("shown"))
-    whole = pinned.agg(F.sort_array(F.collect_list("dist")).alias("d"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("full_tokens"))
+    tokens = F.coalesce(F.sum("tokens"), F.lit(0)).alias("full_tokens")
+    few = F.coalesce(F.sum(F.when(F.col("_shown"), F.col("tokens"))), F.lit(0)).alias("shown")
+    whole = pinned.withColumn("_shown", shown(reps)).agg(F.sort_array(F.collect_list("dist")).alias("d"), tokens, few)
     n, d = F.size("d"), F.col("d")
 
     def at(i):
         return F.coalesce(F.get(d, i), F.lit(0.0))
 
     gap = (at(F.lit(1)) - at(F.lit(0))) / F.greatest(at(n - 1) - at(F.lit(0)), F.lit(1e-6))
-    return whole.join(F.broadcast(shown), F.lit(True)).select(  # one row each
+    return whole.select(
         n.cast("long").alias("n"),
         at(F.lit(0)).alias("dist_min"),
         at(F.floor(n / 2).cast("int")).alias("dist_median"),

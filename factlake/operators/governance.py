@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codecs import grain_tokens, redacted
 from ..schema import ALLOW, DENY, MASK, READ
+from . import sequence
 
 Rule = tuple  # rule_id, agent, action or None, effect, match_kind, match_value
 
@@ -95,6 +96,6 @@ def budget_ledger(queries: DataFrame, budget: int) -> DataFrame:
 
 
 def audit_of(decided: DataFrame, start: int = 0) -> DataFrame:
-    """Audit rows in order of ``at``: seq, agent, action, sid, pred, decision, tokens."""
-    order = Window.orderBy("at")
-    return decided.withColumn("seq", (F.row_number().over(order) - 1 + start).cast("long")).select("seq", "agent", "action", "sid", "pred", "decision", "tokens")
+    """Audit rows numbered in order of ``at``: seq, agent, action, sid, pred, decision, tokens."""
+    numbered = sequence.number(decided, ["at"], start=start)
+    return numbered.select("seq", "agent", "action", "sid", "pred", "decision", "tokens")

@@ -97,11 +97,11 @@ def contiguous_watermark(applied: DataFrame) -> DataFrame:
     """
     seqs = applied.select("seq").where(F.col("seq") >= 1).distinct()
     following = seqs.select((F.col("seq") - 1).alias("seq"))
-    ends = seqs.join(following, "seq", "left_anti").agg(F.min("seq").alias("first_end"))
-    first = seqs.agg(F.min("seq").alias("least"))
-    starts_at_one = F.coalesce(F.col("least") == 1, F.lit(False))
-    both = ends.join(F.broadcast(first), F.lit(True))  # one row each
-    return both.select(F.when(starts_at_one, F.col("first_end")).otherwise(F.lit(0)).cast("long").alias("watermark"))
+    nothing = F.lit(None).cast("long")
+    ends = seqs.join(following, "seq", "left_anti").select(F.col("seq").alias("last"), nothing.alias("first"))
+    both = ends.unionByName(seqs.select(nothing.alias("last"), F.col("seq").alias("first")))
+    starts_at_one = F.coalesce(F.min("first") == 1, F.lit(False))
+    return both.agg(F.when(starts_at_one, F.min("last")).otherwise(F.lit(0)).cast("long").alias("watermark"))
 
 
 def tombstones(log: DataFrame) -> DataFrame:

@@ -604,7 +604,7 @@ def budget_ledger(spark, sf_dir):
 @query(f"WITH {VEC}, {_RULES}, requests AS (SELECT 3::BIGINT AS agent, 'read' AS action, sid, pred, category FROM grains WHERE sid < 50), {_DECIDE} SELECT sid AS seq, agent, action, sid, pred, decision, CASE WHEN decision = 'deny' THEN 0 ELSE 72 END::BIGINT AS tokens FROM decided")
 def audit_log(spark, sf_dir):
     rows = governance.with_cost(vecs(spark, sf_dir).where("sid < 50"))
-    decided = rows.withColumns({"agent": F.lit(3).cast("long"), "action": F.lit("read"), "at": F.col("sid"), "decision": governance.decision(views.RULE_ROWS, 3, "read")})
+    decided = rows.drop("seq").withColumns({"agent": F.lit(3).cast("long"), "action": F.lit("read"), "at": F.col("sid"), "decision": governance.decision(views.RULE_ROWS, 3, "read")})
     tokens = F.when(F.col("decision") == "deny", F.lit(0)).otherwise(F.col("tokens")).cast("long")
     return governance.audit_of(decided.withColumn("tokens", tokens))
 

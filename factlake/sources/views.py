@@ -70,10 +70,9 @@ def log_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sid, pred, snapshot): every known pair at a quarter, half and all of the log."""
     log = log_events(spark, sf_dir)
-    n = log.agg(F.max("seq").alias("n"))
-    snaps = n.select(F.explode(F.array(F.floor(F.col("n") / 4), F.floor(F.col("n") / 2), F.col("n"))).alias("snapshot"))
-    pairs = log.select("sid", "pred").distinct()
-    return pairs.join(F.broadcast(snaps), F.lit(True))  # three snapshots
+    n = log.agg(F.max("seq")).first()[0] or 0
+    snapshots = F.explode(F.array(*[F.lit(x).cast("long") for x in (n // 4, n // 2, n)])).alias("snapshot")
+    return log.select("sid", "pred").distinct().select("sid", "pred", snapshots)
 
 
 def grains_text(spark: SparkSession, sf_dir: str) -> DataFrame:
