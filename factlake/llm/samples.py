@@ -18,7 +18,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, usable: Column, row
     """(text, label) of at most ``rows_per_class`` labelled documents of each class.
 
     ``labels`` has (doc_id, label); rows with a null label don't count, an id with several labels
-    has the least, and ``usable`` says by doc_id which may be learned from. The sample is the
+    or texts has the least, and ``usable`` says by doc_id which may be learned from. The sample is the
     first by a hash of the id, the same in each run. Texts above ``max_chars`` are not learned
     from, so the sample is at most sum(rows_per_class) * max_chars code points.
     """
@@ -30,5 +30,6 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, usable: Column, row
     chosen = parts[0]
     for part in parts[1:]:
         chosen = chosen.union(part)
-    rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # bounded by rows_per_class
+    rows = texts.join(F.broadcast(chosen), "doc_id")  # bounded by rows_per_class
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     return rows.select("doc_id", "text", "label").toPandas().sort_values("doc_id", ignore_index=True)
