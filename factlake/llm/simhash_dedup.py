@@ -146,8 +146,8 @@ def classes(marked: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
     each = kept(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(near_links(each.select("fp"), radius, bucket))
     tied = each.join(roots, each["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp"))
-    tied = tied.select("fp", "root", "first_id")
-    least = tied.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    tied = kept(tied.select("fp", "root", "first_id"))
+    least = kept(tied.groupBy("root").agg(F.min("first_id").alias("component_id")))  # apart from the join, whose hot keys can then be split
     by_fp = tied.join(least, "root").select("fp", "component_id")
     return marked.join(by_fp, "fp")
 
