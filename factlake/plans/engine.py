@@ -6,15 +6,16 @@ and an engine opened on an old log needs no rebuild.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import catalog, disclosure, governance, knn, mvcc, near
-from ..schema import DELETE, PUT, READ, WRITE
+from ..schema import ALLOW, DELETE, DENY, PUT, READ, REMOVE, WRITE
 from ..sources.log import FactLog
+from ..storage import kept
 from . import planner
 
 VECTORS = "seq bigint, sid bigint, pred bigint, op smallint, category int, embedding array<float>, c float, t_valid bigint, idem_key bigint, val_bytes bigint"
@@ -111,14 +112,21 @@ class Governed:
 
     def put_vectors(self, agent: int, rows: DataFrame) -> int:
         """Commits the rows that the agent may write; each is audited. Returns how many were denied."""
-        decided = rows.withColumn("decision", governance.decision(self.rules, agent, WRITE))
+        return self._commit(agent, WRITE, rows, self.engine.put_vectors)
+
+    def delete(self, agent: int, rows: DataFrame) -> int:
+        """Deletes the facts (arrival, sid, pred, idem_key) that the agent may, by their current category."""
+        known = self.engine.current().select("sid", "pred", "category")
+        return self._commit(agent, REMOVE, rows.join(known, ["sid", "pred"], "left"), lambda allowed: self.engine.delete(allowed.drop("category")))
+
+    def _commit(self, agent: int, action: str, rows: DataFrame, into: Callable[[DataFrame], int]) -> int:
+        decided = kept(rows.withColumn("decision", governance.decision(self.rules, agent, action)))
         for r in decided.select("arrival", "sid", "pred", "decision").orderBy("arrival").toLocalIterator():
-            self.audit(agent, WRITE, r["sid"], r["pred"], r["decision"], 0)
-        allowed = decided.where(F.col("decision") == "allow").drop("decision")
-        self.engine.put_vectors(allowed)
-        return decided.count() - allowed.count()
+            self.audit(agent, action, r["sid"], r["pred"], r["decision"], 0)
+        into(decided.where(F.col("decision") == ALLOW).drop("decision"))
+        return decided.where(F.col("decision") != ALLOW).count()
 
-    def get(self, agent: int, sid: int, pred: int, value: str = "idem_key"):
+    def get(self, agent: int, sid: int, pred: int):
         """The row, redacted or None. Tokens are recorded, not debited; a missing fact isn't audited."""
         rows = governance.with_cost(self.engine.get(sid, pred)).withColumn("decision", governance.decision(self.rules, agent, READ))
         row = rows.withColumn("masked", F.col("decision") == "mask").first()
@@ -137,3 +145,17 @@ class Governed:
         fits = self.spend(agent, cost)
         self.audit(agent, READ, 0, pred, "allow" if fits else "deny", cost)
         return out if fits else None
+
+    def query_staged(self, agent: int, pred: int, vector: Sequence[float], k: int, target: float, reps: int, category: int | None = None):
+        """(summary, representatives, handle) of the rows the agent may read, pinned as the agent
+        sees them; None if the budget can't bear the whole result."""
+        rows, _ = self.engine.query_planned(pred, vector, k, target, category)
+        decided = rows.withColumn("decision", governance.decision(self.rules, agent, READ))
+        pinned = disclosure.ranked(decided.where(F.col("decision") != DENY))
+        handle = self.engine.continuations.pin(pinned)
+        pinned = self.engine.drill(handle)
+        summary = disclosure.summary(pinned, reps)
+        cost = summary.first()["full_tokens"]
+        fits = self.spend(agent, cost)
+        self.audit(agent, READ, 0, pred, ALLOW if fits else DENY, cost)
+        return (summary, disclosure.representatives(pinned, reps), handle) if fits else None

@@ -9,9 +9,9 @@ import sys
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.request import Request, urlopen
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.store import Store
+from ..plans.store import DIM, Store
 from ..sources import ingest
 
 PORT, K = 7700, 5
@@ -120,7 +120,8 @@ def table(found: list[dict]) -> str:
 
 
 def main(args: list[str] | None = None) -> int:
-    """The command line: stats, health, load FILE, query TEXT, repl, against a running server."""
+    """The command line: serve and rpc run the store; stats, health, load FILE, query TEXT and repl
+    ask a running server."""
     parser = argparse.ArgumentParser(prog="factlake")
     parser.add_argument("--server", default=f"http://127.0.0.1:{PORT}")
     sub = parser.add_subparsers(dest="command", required=True)
@@ -132,7 +133,20 @@ def main(args: list[str] | None = None) -> int:
     for flag, kind in (("--category", int), ("--min", int), ("--max", int)):
         asked.add_argument(*(["-c"] if flag == "--category" else []), flag, type=kind)
     asked.add_argument("-k", type=int, default=K)
+    for name in ("serve", "rpc"):
+        own = sub.add_parser(name)
+        own.add_argument("--path", required=True)
+        own.add_argument("--dim", type=int, default=DIM)
+        own.add_argument("--port", type=int)
     given = parser.parse_args(args)
+    if given.command in ("serve", "rpc"):
+        store = Store(SparkSession.builder.appName("factlake").getOrCreate(), given.path, given.dim)
+        if given.command == "serve":
+            serve(store, given.port).serve_forever()
+        for line in sys.stdin:
+            if (answer := rpc(store, line)) is not None:
+                print(json.dumps(answer), flush=True)
+        return 0
 
     def call(path: str, body: bytes | None = None) -> dict:
         with urlopen(Request(given.server + path, data=body)) as got:

@@ -229,6 +229,13 @@ def test_engine_and_governed_engine(spark, tmp_path):
     assert len(governed.query_planned(1, 0, q, 2, 0.9)) == 2 and governed.remaining[1] == 200 - cost
     assert governed.query_planned(1, 0, q, 20, 0.9) is None and governed.remaining[1] == 200 - cost
     assert governed.trail[-1][5] == "deny" and governed.trail[-1][6] == 10 * cost
+    assert governed.query_staged(1, 0, q, 20, 0.9, 3) is None
+    mine, _, own = governed.query_staged(1, 0, q, 1, 0.9, 3)
+    assert mine.first()["n"] == 1 and sids(engine.drill(own)) == sids(engine.query(0, q, 1))
+    rows = spark.createDataFrame([(1, 40, 0, 9001), (2, 41, 0, 9002)], "arrival bigint, sid bigint, pred bigint, idem_key bigint")
+    assert governed.delete(1, rows) == 2 and engine.get(40, 0).count() == 1
+    governed.rules.append((4, 1, "delete", "allow", "category", int(cats[40])))
+    assert governed.delete(1, rows.where("sid = 40")) == 0 and engine.get(40, 0).count() == 0
     small = disclosure.Continuations(spark, capacity=1)
     first = small.pin(shown)
     second = small.pin(shown)
