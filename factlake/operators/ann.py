@@ -5,8 +5,10 @@ They trade recall for rows scanned; both are reported, and exact search stays th
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
@@ -24,6 +26,29 @@ def ivf(block_rows: DataFrame, centres: DataFrame, query: Sequence[float], k: in
     return knn.nearest(block_rows.where(F.col("block_id").isin(chosen)), query, k)
 
 
+def ivf_batch(block_rows: DataFrame, centres: DataFrame, queries: DataFrame, k: int, probes: int) -> DataFrame:
+    """(query_id, sid, dist, place) for every query (query_id, vector): the k nearest within the
+    ``probes`` blocks nearest to it. Centres, one row per block, and the counted query set go to
+    every executor; a block's rows meet the queries that probe it."""
+    names, asked = knn.query_set(queries)
+    cells = centres.orderBy("block_id").toPandas()
+    middles = np.stack(cells["centroid"].to_numpy()) if len(cells) else np.empty((0, asked.shape[1]))
+    far = (asked**2).sum(1)[:, None] - 2 * asked @ middles.T + (middles**2).sum(1)
+    probed = np.argsort(far, axis=1, kind="stable")[:, :probes]
+    by_block = {int(b): np.flatnonzero((probed == i).any(1)) for i, b in enumerate(cells["block_id"])}
+    sent = block_rows.sparkSession.sparkContext.broadcast((names, asked, by_block))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, asked, by_block = sent.value
+        for batch in batches:
+            for block, rows in batch.groupby("block_id"):
+                own = by_block[int(block)]
+                yield from knn.closest(names[own], asked[own], rows["sid"].to_numpy(), np.stack(rows["embedding"].to_numpy()).astype(np.float64), k)
+
+    fitting = block_rows.where(F.size("embedding") == asked.shape[1]).select("block_id", "sid", "embedding")
+    return knn.best(fitting.mapInPandas(run, f"query_id {dict(queries.dtypes)['query_id']}, sid bigint, dist double"), k)
+
+
 def build_ivf(grains: DataFrame, cells: int, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(rows with block_id, centres)."""
     rows = blocks.assign_kmeans(grains, cells, seed=seed)

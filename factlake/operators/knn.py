@@ -16,6 +16,9 @@ from ..functions.distance import l2_sq_to
 from ..storage import BROADCAST_ROWS
 from . import mvcc
 
+#: Distances that one step of a matrix product makes.
+BLOCK = 1 << 22
+
 
 def psi(log: DataFrame, dim: int, snapshot: int | None = None) -> DataFrame:
     """Vectors of the newest versions; a newest version without a vector of ``dim`` has no row."""
@@ -43,46 +46,56 @@ def nearest_by_shard(vectors: DataFrame, query: Sequence[float], k: int, shards:
     return local.drop("place", "shard").orderBy("dist", "sid").limit(k)
 
 
-def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, sid, dist, place) of the k nearest for every query (query_id, vector).
+def closest(names: np.ndarray, asked: np.ndarray, sids: np.ndarray, data: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
+    """For each query row of ``asked`` the k nearest rows of ``data``, and any level with the last.
 
-    The counted query set goes to every executor; each Arrow batch of vectors meets all queries
-    in one matrix product and keeps k candidates a query, whose distances are then exact sums of
-    squares. Beyond BROADCAST_ROWS queries the caller splits the set.
+    Candidates come from matrix products, a few million distances at a time; the distances of
+    candidates are then exact sums of squares.
     """
+    sizes, keep = (data**2).sum(1), min(k, len(data))
+    step = max(1, BLOCK // max(len(data), 1))
+    for at in range(0, len(names) if keep else 0, step):
+        some, part = names[at : at + step], asked[at : at + step]
+        rough = (part**2).sum(1)[:, None] - 2 * part @ data.T + sizes
+        near = np.argpartition(rough, keep - 1, axis=1)[:, :keep]
+        edge = np.take_along_axis(rough, near, 1).max(1)[:, None] + 1e-9 * (1 + sizes.max())
+        q, v = np.nonzero(rough <= edge)
+        yield pd.DataFrame({"query_id": some[q], "sid": sids[v], "dist": ((data[v] - part[q]) ** 2).sum(1)})
+
+
+def query_set(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of ``queries`` (query_id, vector), counted: BROADCAST_ROWS at most, as they
+    go to every executor. Beyond that the caller splits the set."""
     rows = queries.select("query_id", "vector").limit(BROADCAST_ROWS + 1).toPandas()
     if len(rows) > BROADCAST_ROWS:
         raise ValueError(f"at most {BROADCAST_ROWS} queries at once")
-    names = rows["query_id"].to_numpy()
-    asked = np.stack([np.asarray(v, dtype=np.float64) for v in rows["vector"]]) if len(rows) else np.empty((0, 1))
-    sent = vectors.sparkSession.sparkContext.broadcast((names, asked, (asked**2).sum(1)))
-    block = 1 << 22
+    vectors = [np.asarray(v, dtype=np.float64) for v in rows["vector"]]
+    return rows["query_id"].to_numpy(), np.stack(vectors) if vectors else np.empty((0, 0))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, asked, norms = sent.value
-        for batch in batches:
-            if not len(batch) or not len(names):
-                continue
-            sids = batch["sid"].to_numpy()
-            data = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-            sizes = (data**2).sum(1)
-            for at in range(0, len(names), max(1, block // len(data))):
-                part = slice(at, at + max(1, block // len(data)))
-                rough = norms[part, None] - 2 * asked[part] @ data.T + sizes
-                keep = min(k, len(data))
-                near = np.argpartition(rough, keep - 1, axis=1)[:, :keep]
-                # candidates level with the last one, within rounding, are kept too
-                edge = np.take_along_axis(rough, near, 1).max(1)[:, None] + 1e-9 * (1 + sizes.max())
-                q, v = np.nonzero(rough <= edge)
-                exact = ((data[v] - asked[part][q]) ** 2).sum(1)
-                yield pd.DataFrame({"query_id": names[part][q], "sid": sids[v], "dist": exact})
-
-    fitting = vectors.where(F.size("embedding") == (asked.shape[1] if len(rows) else 0)).select("sid", "embedding")
-    found = fitting.mapInPandas(run, f"query_id {dict(queries.dtypes)['query_id']}, sid bigint, dist double")
+
+def best(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query with place; ranks are cut within tasks before the shuffle."""
     order = Window.partitionBy("query_id").orderBy("dist", "sid")
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
+def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, sid, dist, place) of the k nearest for every query (query_id, vector).
+
+    Each Arrow batch of vectors meets all queries and keeps k candidates a query.
+    """
+    names, asked = query_set(queries)
+    sent = vectors.sparkSession.sparkContext.broadcast((names, asked))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield from closest(*sent.value, batch["sid"].to_numpy(), np.stack(batch["embedding"].to_numpy()).astype(np.float64), k)
+
+    fitting = vectors.where(F.size("embedding") == asked.shape[1]).select("sid", "embedding")
+    return best(fitting.mapInPandas(run, f"query_id {dict(queries.dtypes)['query_id']}, sid bigint, dist double"), k)
+
+
 def recall(exact: DataFrame, got: DataFrame, k: int) -> DataFrame:
     """(query_id, recall): share of the exact k that ``got`` has."""
     want = exact.groupBy("query_id").agg(F.collect_set("sid").alias("want"))

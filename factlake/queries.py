@@ -177,9 +177,9 @@ def near_select_postfilter(spark, sf_dir):
     return found.select("sid", "category", "dist")
 
 
-@query(f"WITH {DIST} SELECT sid, category, dist FROM dists WHERE sid % 3 = 1 AND category IN (1, 4, 7) ORDER BY dist, sid LIMIT 10")
+@query(f"WITH {DIST} SELECT sid, category, dist FROM dists WHERE embedding[1] > 0 AND category IN (1, 4, 7) ORDER BY dist, sid LIMIT 10")
 def near_select_lambda(spark, sf_dir):
-    where = (F.col("sid") % 3 == 1) & F.col("category").isin(1, 4, 7)
+    where = (F.col("embedding")[0] > 0) & F.col("category").isin(1, 4, 7)
     return near.near_select(vecs(spark, sf_dir), ask(spark, sf_dir), K, where).select("sid", "category", "dist")
 
 
@@ -270,17 +270,11 @@ def knn_lsh(spark, sf_dir):
 
 @query()
 def recall_at_k(spark, sf_dir):
-    """Recall of the inverted file at three quarters of its cells, for ten queries."""
+    """Recall of the inverted file at three quarters of its cells, for ids divisible by 20."""
     table = vecs(spark, sf_dir)
     rows, centres = ann.build_ivf(table, 16)
-    rows, centres = kept(rows), kept(centres)
-    asked = table.where("sid < 10").select(F.col("sid").alias("query_id"), F.col("embedding").alias("vector"))
-    exact = knn.nearest_batch(table, asked, K)
-    parts = [ann.ivf(rows, centres, r["vector"], K, 12).select(F.lit(r["query_id"]).cast("long").alias("query_id"), "sid") for r in asked.orderBy("query_id").collect()]
-    got = parts[0]
-    for part in parts[1:]:
-        got = got.unionByName(part)
-    return knn.recall(exact, got, K)
+    asked = table.where(F.col("sid") % 20 == 0).select(F.col("sid").alias("query_id"), F.col("embedding").alias("vector"))
+    return knn.recall(knn.nearest_batch(table, asked, K), ann.ivf_batch(kept(rows), kept(centres), asked, K, 12), K)
 
 
 # Versions.
@@ -405,12 +399,13 @@ def group_commit(spark, sf_dir):
     return log.read().drop("batch_id")
 
 
-@query(f"WITH {ARRIVALS} SELECT row_number() OVER (ORDER BY arrival) AS seq, sid, pred, op, val, idem_key FROM firsts WHERE sid % 2 = 0")
+@query(f"WITH {ARRIVALS} SELECT row_number() OVER (ORDER BY arrival) AS seq, sid, pred, op, val, idem_key FROM firsts WHERE op = 0")
 def recovery_prefix(spark, sf_dir):
-    """A second batch was staged but its writer lost before the record: it isn't in the log."""
+    """All puts were committed, all deletes staged, but their writer lost before the record: they
+    aren't in the log."""
     log, rows = new_log(spark), arrivals(spark, sf_dir)
-    log.commit(rows.where("sid % 2 = 0"), batch_id=0)
-    log.stage(rows.where("sid % 2 = 1"), batch_id=1)
+    log.commit(rows.where("op = 0"), batch_id=0)
+    log.stage(rows.where("op = 1"), batch_id=1)
     return log.read().drop("batch_id")
 
 
@@ -575,10 +570,10 @@ def acl_write_filter(spark, sf_dir):
     return rows.where(governance.decision(views.RULE_ROWS, 4, "write") == "allow").select("sid", "category")
 
 
-@query(f"WITH {VEC} SELECT sid, CASE WHEN category = 0 THEN 'mask' WHEN category = 1 THEN 'allow' ELSE 'deny' END AS decision, CASE WHEN category IN (0, 1) THEN 72 ELSE 0 END::BIGINT AS tokens FROM grains WHERE sid < 50")
+@query(f"WITH {VEC} SELECT sid, CASE WHEN category = 0 THEN 'mask' WHEN category = 1 THEN 'allow' ELSE 'deny' END AS decision, CASE WHEN category IN (0, 1) THEN 72 ELSE 0 END::BIGINT AS tokens FROM grains")
 def acl_get(spark, sf_dir):
-    """Reads of 50 facts by agent 3, with what is recorded of each."""
-    found = governance.with_cost(mvcc.scan_live(vecs(spark, sf_dir).withColumn("op", F.lit(0))).where("sid < 50"))
+    """Reads of all facts by agent 3, with what is recorded of each."""
+    found = governance.with_cost(mvcc.scan_live(vecs(spark, sf_dir).withColumn("op", F.lit(0))))
     decided = found.withColumn("decision", governance.decision(views.RULE_ROWS, 3, "read"))
     return decided.select("sid", "decision", F.when(F.col("decision") != "deny", F.col("tokens")).otherwise(F.lit(0)).cast("long").alias("tokens"))
 
@@ -601,9 +596,9 @@ def budget_ledger(spark, sf_dir):
     return governance.budget_ledger(views.query_log(spark), 200)
 
 
-@query(f"WITH {VEC}, {_RULES}, requests AS (SELECT 3::BIGINT AS agent, 'read' AS action, sid, pred, category FROM grains WHERE sid < 50), {_DECIDE} SELECT sid AS seq, agent, action, sid, pred, decision, CASE WHEN decision = 'deny' THEN 0 ELSE 72 END::BIGINT AS tokens FROM decided")
+@query(f"WITH {VEC}, {_RULES}, requests AS (SELECT 3::BIGINT AS agent, 'read' AS action, sid, pred, category FROM grains), {_DECIDE} SELECT sid AS seq, agent, action, sid, pred, decision, CASE WHEN decision = 'deny' THEN 0 ELSE 72 END::BIGINT AS tokens FROM decided")
 def audit_log(spark, sf_dir):
-    rows = governance.with_cost(vecs(spark, sf_dir).where("sid < 50"))
+    rows = governance.with_cost(vecs(spark, sf_dir))
     decided = rows.drop("seq").withColumns({"agent": F.lit(3).cast("long"), "action": F.lit("read"), "at": F.col("sid"), "decision": governance.decision(views.RULE_ROWS, 3, "read")})
     tokens = F.when(F.col("decision") == "deny", F.lit(0)).otherwise(F.col("tokens")).cast("long")
     return governance.audit_of(decided.withColumn("tokens", tokens))
@@ -667,9 +662,10 @@ def block_bloom(spark, sf_dir):
 
 @query()
 def bloom_probe(spark, sf_dir):
-    """Blocks whose filter may hold each of 100 sids, and whether they do."""
+    """Blocks whose filter may hold each sid that is divisible by 20, and whether they do."""
     rows = by_label(spark, sf_dir)
-    maybe = blocks.may_hold(blocks.blooms(rows), list(range(100)))
+    asked = [r["sid"] for r in rows.where("sid % 20 = 0").select("sid").collect()]
+    maybe = blocks.may_hold(blocks.blooms(rows), asked)
     return maybe.join(rows.select("sid", F.col("block_id").alias("own")), "sid").select("sid", "block_id", (F.col("block_id") == F.col("own")).alias("holds"))
 
 
@@ -713,9 +709,10 @@ def block_lower_bound(spark, sf_dir):
     return described.select("block_id", F.round(low, 9).alias("low"))
 
 
-@query(f"WITH {LOG} SELECT sid % 8 AS block_id, bool_or(pred = 3) AS has_pred, count(*) FILTER (pred = 3) AS n FROM log WHERE sid % 16 != 3 OR pred != 3 GROUP BY ALL")
+@query(f"WITH {LOG} SELECT sid AS block_id, bool_or(pred = 3) AS has_pred, count(*) FILTER (pred = 3) AS n FROM log GROUP BY ALL")
 def block_has_pred(spark, sf_dir):
-    rows = log_of(spark, sf_dir).where("sid % 16 != 3 OR pred != 3").withColumn("block_id", F.col("sid") % 8)
+    """Whether each sid's block has an attribute, and how often."""
+    rows = log_of(spark, sf_dir).withColumn("block_id", F.col("sid"))
     held = rows.groupBy("block_id").agg(F.sort_array(F.collect_set("pred")).alias("preds"), F.count(F.when(F.col("pred") == 3, 1)).alias("n"))
     return held.select("block_id", F.array_contains("preds", 3).alias("has_pred"), "n")
 
@@ -724,11 +721,11 @@ def block_has_pred(spark, sf_dir):
 
 
 @query(
-    """WITH p AS (SELECT DISTINCT props FROM events), b AS (SELECT props, list_transform(range(1, length(props) + 1), lambda i: ascii(substr(props, i, 1))::UHUGEINT) AS codes FROM p)
-SELECT props, lpad(lower(to_hex(list_reduce(codes, lambda h, x: (xor(h, x) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT, 14695981039346656037::UHUGEINT)::UBIGINT)), 16, '0') AS fnv FROM b"""
+    """WITH b AS (SELECT event_id, list_transform(range(1, length(props) + 1), lambda i: ascii(substr(props, i, 1))::UHUGEINT) AS codes FROM events)
+SELECT event_id, lpad(lower(to_hex(list_reduce(codes, lambda h, x: (xor(h, x) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT, 14695981039346656037::UHUGEINT)::UBIGINT)), 16, '0') AS fnv FROM b"""
 )
 def fnv1a(spark, sf_dir):
-    return views.read(spark, sf_dir, "events").select("props").distinct().select("props", hashing.fnv1a(F.col("props")).alias("fnv"))
+    return views.read(spark, sf_dir, "events").select("event_id", hashing.fnv1a(F.col("props")).alias("fnv"))
 
 
 @query()

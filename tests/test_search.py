@@ -95,6 +95,9 @@ def test_inverted_file_and_hashing_recall(spark):
         one += len(want & set(sids(ann.ivf(rows, centres, q, 10, 8))))
         two += len(want & set(sids(ann.lsh(df, q, 10))))
     assert one / 60 >= 0.9 and two / 60 >= 0.9
+    asked = df.where("sid in (0, 11, 22, 33, 44, 55)").select(F.col("sid").alias("query_id"), F.col("embedding").alias("vector"))
+    got = knn.recall(knn.nearest_batch(df, asked, 10), ann.ivf_batch(rows, centres, asked, 10, 8), 10)
+    assert round(10 * got.agg(F.sum("recall")).first()[0]) == one
 
 
 def test_staged_results(spark):
