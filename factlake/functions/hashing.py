@@ -11,12 +11,10 @@ from pyspark.sql import functions as F
 
 #: Fixed values of 64-bit FNV-1a.
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
-#: Fixed values of the 64-bit murmur finaliser.
-MURMUR = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
+#: Fixed value: the factor of the shard router's mixing step.
+ROUTER = 0xFF51AFD7ED558CCD
 #: Fixed values of SplitMix64.
 SPLITMIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-#: What the second Bloom hash is salted with.
-SALT = 0xD6E8FEB86659FD93
 
 U64 = np.uint64
 
@@ -53,19 +51,15 @@ def crc32(data: Column) -> Column:
     return F.crc32(data.cast("binary"))
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """The murmur finaliser."""
-    for factor in MURMUR:
-        x = (x ^ (x >> U64(33))) * U64(factor)
-    return x ^ (x >> U64(33))
-
-
 def shard_of(sid: Column, shards: int) -> Column:
-    """Shard of a sid below 2**64 (its high half is 0): finalised low half, modulo the shards."""
+    """Shard of a sid below 2**64 (its high half is 0): its bits mixed by one product between two
+    shifts, modulo the shards."""
 
     @F.pandas_udf("bigint")
     def run(sids: pd.Series) -> pd.Series:
-        return pd.Series((mixed(sids.to_numpy(np.int64).view(U64)) % U64(shards)).astype(np.int64))
+        x = sids.to_numpy(np.int64).view(U64)
+        x = (x ^ (x >> U64(33))) * U64(ROUTER)
+        return pd.Series(((x ^ (x >> U64(33))) % U64(shards)).astype(np.int64))
 
     return run(sid)
 
@@ -91,10 +85,11 @@ def bloom_params(n: Column, p: float = 0.01) -> tuple[Column, Column]:
 
 
 def bloom_places(sids: np.ndarray, bits: int, hashes: int) -> np.ndarray:
-    """Bit positions of each sid: double hashing with two SplitMix64 values."""
+    """Bit positions of each sid below 2**64: double hashing with the SplitMix64 of the sid and of
+    its product with that generator's increment."""
     x = sids.astype(np.int64).view(U64)
     with np.errstate(over="ignore"):
-        one, two = splitmix(x), splitmix(x ^ U64(SALT)) | U64(1)
+        one, two = splitmix(x), splitmix(x * U64(SPLITMIX[0])) | U64(1)
         return (one[:, None] + np.arange(hashes, dtype=U64) * two[:, None]) % U64(bits)
 
 

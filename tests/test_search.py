@@ -187,6 +187,14 @@ def test_hashes(spark):
         members = np.arange(n) * 7 + 3
         bloom = hashing.bloom_build(members, bits, size)
         assert hashing.bloom_contains(bloom, members, bits, size).all()
+    def route(x):
+        x ^= x >> 33
+        x = x * 0xFF51AFD7ED558CCD % 2**64
+        return (x ^ (x >> 33)) % 8
+
+    many = [0, 1, 12345, 2**40 + 7, 2**62]
+    routed = spark.createDataFrame([(x,) for x in many], "sid bigint").select(hashing.shard_of(F.col("sid"), 8)).collect()
+    assert [r[0] for r in routed] == [route(x) for x in many]
     assert hashing.bloom_contains(bloom, np.arange(10**6, 10**6 + 5000), bits, size).mean() < 0.03
 
 
