@@ -105,10 +105,13 @@ class Network:
 
     def vectors(self, word_rows: np.ndarray, grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Inputs of words from their rows."""
-        if not len(sizes):
-            return np.empty((0, D), np.float32)
-        sums = np.add.reduceat(self.p["grams"][grams], np.cumsum(sizes) - sizes, axis=0)
-        return self.p["words"][word_rows] + sums / sizes[:, None].astype(np.float32)
+        out, ends = np.empty((len(sizes), D), np.float32), np.cumsum(sizes)
+        for i in range(0, len(sizes), BATCH):  # an n-gram's vector is as large as a word's
+            part = slice(i, i + BATCH)
+            first, size = ends[part] - sizes[part], sizes[part]
+            sums = np.add.reduceat(self.p["grams"][grams[first[0] : ends[part][-1]]], first - first[0], axis=0)
+            out[part] = self.p["words"][word_rows[part]] + sums / size[:, None].astype(np.float32)
+        return out
 
     def gates(self, vectors: np.ndarray) -> dict[str, np.ndarray]:
         """What each word adds to the gates of either side; a row for "no word" comes first."""
@@ -255,14 +258,16 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
     if not len(texts):
         return network
     words = sorted({w for t in texts for w in split(t)})
-    word_rows, flat, sizes = rows_of(words)
+    parts = [rows_of(words[i : i + 10 * BATCH]) for i in range(0, len(words), 10 * BATCH)] or [rows_of([])]
+    word_rows, flat, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
     ends = np.cumsum(sizes)
     reader = Reader(network, remembered=float("inf"))  # the sample is bounded
     reader.rows = {w: i + 1 for i, w in enumerate(words)}
     reader.gates = {side: np.zeros((len(words) + 1, 3 * H), np.float32) for side in "fb"}
-    windows, n = reader.windows(texts)
-    windows = windows.astype(np.int32)
+    parts = [reader.windows(part) for part in pieces(texts, 1_000_000)]
+    windows, n = np.concatenate([w.astype(np.int32) for w, _ in parts]), np.concatenate([k for _, k in parts])
     first = np.cumsum(n) - n
+    del parts
 
     def grams_of(some_words: np.ndarray) -> np.ndarray:
         """Rows of the n-grams of the words, one word after the other."""
