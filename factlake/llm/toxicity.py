@@ -42,7 +42,7 @@ PACE = 0.3
 DECAY = 5e-3
 
 #: Words that one worker remembers; beyond it the memory starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 #: Windows that are read at once.
 BATCH = 4096
