@@ -60,8 +60,9 @@ def latin(text: str) -> bool:
     return True
 
 
-#: Words and pairs that one worker remembers; beyond it the memory starts anew.
-REMEMBERED = 200_000
+#: Words and pairs of tokens of one generation. When it is full it becomes the old one and the old
+#: one goes; what is met again moves to the new one, so frequent words stay.
+WORDS, PAIRS = 120_000, 100_000
 
 #: Code points beyond which a word isn't remembered.
 LONG = 100
@@ -105,8 +106,10 @@ class WordBpe:
         self.inner.make_automaton()
         self.longest_last = max(map(len, self.last), default=0)
         self.fits: dict[tuple[int, int], bool] = {}
+        self.old_fits: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
         self.memory: dict[str, tuple[int, str, str]] = {}
+        self.old_memory: dict[str, tuple[int, str, str]] = {}
 
     def edge(self, token: int, right: bool, until: float = NEVER) -> list[tuple[int, float]]:
         """The pieces at one edge of a token, from the token inwards, each with the rank of the
@@ -128,9 +131,12 @@ class WordBpe:
         """
         known = self.fits.get((left, right))
         if known is None:
-            if len(self.fits) >= 2 * REMEMBERED:
-                self.fits.clear()
-            known = self.fits[left, right] = self.apart(left, right)
+            known = self.old_fits.get((left, right))
+            if known is None:
+                known = self.apart(left, right)
+            if len(self.fits) >= PAIRS:
+                self.fits, self.old_fits = {}, self.fits
+            self.fits[left, right] = known
         return known
 
     def apart(self, left: int, right: int, until: float = NEVER) -> bool:
@@ -178,18 +184,23 @@ class WordBpe:
                 return ids[::-1]
         raise ValueError(f"the vocabulary can't spell {word!r}")
 
+    def forget(self) -> None:
+        """Lets the old generations go."""
+        self.old_memory, self.old_fits = {}, {}
+
     def remember(self, word: str) -> tuple[int, str, str]:
-        ids = self.encode_word("".join([self.letters[b] for b in word.encode()]))
-        got = (len(ids), " ".join(map(str, ids)), " ".join([self.strings[i] for i in ids]))
-        if len(self.memory) >= REMEMBERED:
-            self.memory.clear()
+        got = self.old_memory.get(word)
+        if got is None:
+            ids = self.encode_word("".join([self.letters[b] for b in word.encode()]))
+            got = (len(ids), " ".join(map(str, ids)), " ".join([self.strings[i] for i in ids]))
+        if len(self.memory) >= WORDS:
+            self.memory, self.old_memory = {}, self.memory
         if len(word) <= LONG:
             self.memory[word] = got
         return got
 
     def pieces(self, text: str) -> Iterator[tuple[int, str, str]]:
         """(number of ids, ids, token strings) of each word and special token, in order."""
-        get, remember = self.memory.get, self.remember
         for i, part in enumerate(self.parting.split(text) if self.parting else [text]):
             if i % 2:
                 yield (1, str(self.special[part]), part)
@@ -201,7 +212,7 @@ class WordBpe:
                 if late.search(part):
                     pattern, part = known, part.translate(self.lower)
             for word in pattern.findall(part.lower()):
-                yield get(word) or remember(word)
+                yield self.memory.get(word) or self.remember(word)
 
     def encode_decode(self, text: str) -> tuple[int, str, str]:
         """(number of ids, ids as decimals, decoded text): tokens are put together with a space,
@@ -234,6 +245,17 @@ def load(path: str) -> dict:
     return spec | {"late": late_letters(path)}
 
 
+#: The encoder of this process, by file: tasks that share a worker share its tables.
+ENCODERS: dict[str, WordBpe] = {}
+
+
+def encoder(path: str, spec: dict) -> WordBpe:
+    if path not in ENCODERS:
+        ENCODERS.clear()
+        ENCODERS[path] = WordBpe(spec)
+    return ENCODERS[path]
+
+
 def sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
@@ -249,7 +271,7 @@ def encode(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = WordBpe(spec.value)
+        bpe = encoder(path, spec.value)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -257,5 +279,6 @@ def encode(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
                 rows.append((doc_id, n, sha(ids), sha(decoded), *([[int(i) for i in ids.split()], decoded] if keep_ids else [])))
             out = pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 6 if keep_ids else 4])
             yield out.astype({"doc_id": "Int64"})
+        bpe.forget()
 
     return docs.select(F.col("doc_id").cast("long"), whole("text").alias("text")).mapInPandas(run, schema)
