@@ -182,6 +182,28 @@ def test_block_tables_find_all_within_the_radius(spark):
         assert got[hi, lo] == want
 
 
+def test_near_copies_of_real_texts_are_found(spark):
+    """Any radius is exact, and near copies of given texts, some words replaced, are within NEAR."""
+    docs = common.read(spark, "/root/testdata/sf0.01", "documents").where("length(text) between 1500 and 6000").orderBy("doc_id").limit(60)
+    texts = {r["doc_id"]: r["text"].split(" ") for r in docs.collect()}
+    r, rows = random.Random(8), []
+    for d, words in texts.items():
+        edited = list(words)
+        for at in r.sample(range(len(words)), max(1, len(words) // 50)):  # about 5 in 50 shingles change
+            edited[at] = r.choice(words)
+        rows += [(d, " ".join(words)), (-d - 1, " ".join(edited))]
+    prints = fingerprints.simhash(spark.createDataFrame(rows, "doc_id bigint, text string"), ["doc_id"], "text").localCheckpoint()
+    counted = prints.groupBy("hi", "lo").agg(F.count("*").alias("n")).localCheckpoint()
+    of = {x["doc_id"]: (x["hi"], x["lo"]) for x in prints.collect()}
+    known = [(x["hi"], x["lo"], x["n"]) for x in counted.collect()]
+    bits = lambda a, b: sum(((x ^ y) % 2**64).bit_count() for x, y in zip(a, b, strict=True))
+    for radius in (0, 5, fingerprints.NEAR):
+        got = {(x["hi"], x["lo"]): x["n"] for x in fingerprints.find_within(counted.select("hi", "lo"), counted, radius).collect()}
+        assert got == {(h, v): sum(n for a, b, n in known if bits((h, v), (a, b)) <= radius) for h, v, _ in known}
+    apart = [bits(of[d], of[-d - 1]) for d in texts]
+    assert sum(x <= fingerprints.NEAR for x in apart) >= 0.95 * len(apart) > 2 * sum(x <= fingerprints.RADIUS for x in apart)
+
+
 # Quality rules
 
 
