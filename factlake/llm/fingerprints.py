@@ -103,12 +103,13 @@ def flips(share: int) -> list[int]:
 
 
 def find_within(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, parts: int = PARTS) -> DataFrame:
-    """(hi, lo, n): for each distinct query fingerprint how many documents are within the radius.
+    """(hi, lo, n, found): for each distinct query fingerprint how many documents are within the
+    radius, and the fingerprints they have, an array of (distance, hi, lo, n) in this order.
 
     ``queries`` has (hi, lo) and ``prints`` (hi, lo, n), each fingerprint once, n its documents. A
     table's bucket is kept as up to ``parts`` arrays, and a query is held against an array in
     place, so a hot bucket gives ``parts`` rows for each query, not one for each pair. A pair that
-    several tables find counts in the first. Any radius from 0 is exact; probes per query grow
+    several tables find is taken from the first. Documents of a fingerprint are the caller's to keep. Any radius from 0 is exact; probes per query grow
     with it (4 for 3, 496 for 18, 5,576 for 31).
     """
     tables = [(i, share) for i, share in enumerate(shares(radius)) if share >= 0]
@@ -137,8 +138,18 @@ def find_within(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, par
     def near(x: Column) -> Column:
         return (distance(F.col("hi"), F.col("lo"), x["hi"], x["lo"]) <= radius) & (first(x) == F.shiftright("b", WIDTH))
 
-    found = F.aggregate(F.filter("members", near), F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    return asked.join(rows, "b").select("hi", "lo", found.alias("n")).groupBy("hi", "lo").agg(F.sum("n").alias("n"))
+    def pair(x: Column) -> Column:
+        return F.struct(distance(F.col("hi"), F.col("lo"), x["hi"], x["lo"]).alias("distance"), x["hi"].alias("hi"), x["lo"].alias("lo"), x["n"].alias("n"))
+
+    pairs = F.transform(F.filter("members", near), pair)
+    met = asked.join(rows, "b").select("hi", "lo", F.explode(F.filter(F.array(pairs), lambda x: F.size(x) > 0)).alias("found"))  # nothing of empty ones
+    found = met.groupBy("hi", "lo").agg(F.sort_array(F.flatten(F.collect_list("found"))).alias("found"))
+    return found.select("hi", "lo", documents(F.col("found"), radius).alias("n"), "found")
+
+
+def documents(found: Column, radius: int) -> Column:
+    """How many documents ``found`` of ``find_within`` has within a radius, its own or a smaller one."""
+    return F.aggregate(F.filter(found, lambda x: x["distance"] <= radius), F.lit(0).cast("long"), lambda a, x: a + x["n"])
 
 
 def neighbours(docs: DataFrame) -> DataFrame:

@@ -70,8 +70,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     following = least.select(F.col("k").alias("next_k"), F.col("f.hi").alias("nhi"), F.col("f.lo").alias("nlo"))
     prints = rows.groupBy("hi", "lo").agg(F.count("*").alias("n"))
     asked = (F.col("k") % 20 == 0) & (F.col("k") != fingerprints.NULL_ID)
-    queries = kept(rows.where(asked).select("hi", "lo").distinct())
-    found = fingerprints.find_within(queries, prints).join(fingerprints.find_within(queries, prints, fingerprints.NEAR).withColumnRenamed("n", "n_near"), ["hi", "lo"])
+    queries = rows.where(asked).select("hi", "lo").distinct()
+    found = fingerprints.find_within(queries, prints, fingerprints.NEAR)
+    listed = F.transform("found", lambda x: F.struct(fingerprints.text(x["hi"], x["lo"]).alias("fingerprint"), x["distance"].alias("distance")))
+    found = found.select("hi", "lo", "n", fingerprints.documents(F.col("found"), fingerprints.RADIUS).alias("n_least"), listed.alias("near"))
     joined = rows.join(following, "next_k").join(kept(found), ["hi", "lo"], "left")
     return joined.select(
         F.when(F.col("k") != fingerprints.NULL_ID, F.col("k")).alias("doc_id"),
@@ -81,8 +83,9 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.text(F.col("ehi"), F.col("elo")).alias("edited_fingerprint"),
         fingerprints.likeness(hi, lo, F.col("ehi"), F.col("elo")).alias("near_edited"),
         fingerprints.likeness(hi, lo, F.col("nhi"), F.col("nlo")).alias("near_next"),
-        F.when(asked, F.col("n")).alias("n_within_3"),
-        F.when(asked, F.col("n_near")).alias(f"n_within_{fingerprints.NEAR}"),
+        F.when(asked, F.col("n_least")).alias("n_within_3"),
+        F.when(asked, F.col("n")).alias(f"n_within_{fingerprints.NEAR}"),
+        F.when(asked, F.col("near")).alias("near"),
     )
 
 

@@ -204,6 +204,20 @@ def test_near_copies_of_real_texts_are_found(spark):
     assert sum(x <= fingerprints.NEAR for x in apart) >= 0.95 * len(apart) > 2 * sum(x <= fingerprints.RADIUS for x in apart)
 
 
+def test_found_fingerprints_come_with_their_distance(spark):
+    """A planted near copy is told from others by its fingerprint; counts follow from the pairs."""
+    flip = lambda hi, lo, bits: (hi ^ sum(1 << b for b in bits if b < 62), lo ^ sum(1 << (b - 64) for b in bits if b >= 64))
+    own = (0x1234567890ABCDEF, 0x0FEDCBA987654321)
+    planted = {0: own, 2: flip(*own, [3, 70]), 11: flip(*own, range(0, 22, 2)), 18: flip(*own, range(64, 118, 3)), 19: flip(*own, range(0, 57, 3))}
+    rows = [(*f, i + 1) for i, f in enumerate(planted.values())]
+    df = spark.createDataFrame(rows, "hi bigint, lo bigint, n bigint")
+    (got,) = fingerprints.find_within(df.limit(1), df, 18).collect()
+    assert [(x["distance"], (x["hi"], x["lo"])) for x in got["found"]] == [(d, planted[d]) for d in (0, 2, 11, 18)]
+    assert got["n"] == 1 + 2 + 3 + 4
+    (fewer,) = fingerprints.find_within(df.limit(1), df, 18).select(fingerprints.documents(F.col("found"), 3).alias("n")).collect()
+    assert fewer["n"] == 1 + 2
+
+
 # Quality rules
 
 
