@@ -1,6 +1,6 @@
 """URL filter by association rules.
 
-FP-growth mines combinations of URL tokens that go with a bad label, rules are pruned by support
+FP-growth mines combinations of URL tokens that go with a bad label, rules are pruned by count
 and confidence, and an inverted index from each rule's rarest token finds the rules a URL meets.
 Explicit rules of (host, path) come first: the longest that fits decides.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import kept
 
-BAD, GOOD = "=bad", "=good"
+BAD = "=bad"
 
 #: (verdict, rule): the rule is a host, and from its first slash on a path.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -52,19 +52,22 @@ def tokens(url: Column) -> Column:
     return F.sort_array(F.filter(both, lambda x: (F.length(x) > 2) & ~x.rlike(r"^.:[0-9]+$")))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.6, min_count: int = 5) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = 0.0, min_confidence: float = 0.6, min_count: int = 5) -> DataFrame:
     """Rules (antecedent, confidence, support) that predict bad, from (url, bad) rows.
 
     A rule is left out if a rule of fewer tokens, all among its own, is as confident. Rows with a
-    null label don't count. Too few labels to reach ``min_count`` give no rules. The rules are at
-    most as many as the item sets in ``min_support`` of the labelled rows.
+    null label don't count. Too few labels to reach ``min_count`` give no rules. A rule needs
+    ``min_count`` bad rows whatever the size of the table; ``min_support``, a share of the
+    labelled rows, is for callers who want fewer rules. The item sets mined are those in
+    ``min_count`` rows, and their number has no other bound.
     """
-    rows = labelled.where(F.col("bad").isNotNull()).select(F.array_append(tokens(F.col("url")), F.when(F.col("bad"), F.lit(BAD)).otherwise(F.lit(GOOD))).alias("items"))
+    rows = labelled.where(F.col("bad").isNotNull()).select(F.concat(tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
     rows = kept(rows)
     n = rows.count()
     if n < min_count:
         return labelled.sparkSession.createDataFrame([], "antecedent array<string>, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n), minConfidence=min_confidence).fit(rows)
+    # half a row less, as FP-growth rounds the count up and min_count / n * n can exceed min_count
+    model = FPGrowth(itemsCol="items", minSupport=max(min_support, (min_count - 0.5) / n), minConfidence=min_confidence).fit(rows)
     rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD)))
     rules = kept(rules.select(F.sort_array("antecedent").alias("antecedent"), "confidence", "support"))
     keyed = rules.withColumn("first", F.explode("antecedent"))

@@ -347,6 +347,18 @@ def test_mined_rules_block(spark):
     assert {x["page_id"]: x["verdict"] for x in url_filter.judge(pages, labelled).collect()} == {1: "block", 2: "allow"}
 
 
+def test_a_rare_bad_host_is_mined(spark):
+    """A host that is bad in 0.3% of the rows, and one in 5 rows, the least count, at any table size."""
+    r = random.Random(9)
+    rows = [(f"http://{r.choice(['aa', 'bb', 'cc'])}.test/{r.choice(['x', 'y'])}/{i}", r.random() < 0.2) for i in range(3983)]
+    rows += [(f"http://spam-farm.test/x/{i}", True) for i in range(12)] + [(f"http://pills.test/y/{i}", True) for i in range(5)]
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    found = {tuple(x["antecedent"]): round(x["confidence"] * 100) for x in url_filter.mine(labelled).collect()}
+    assert found[("h:spam-farm",)] == found[("h:pills",)] == 100
+    pages = spark.createDataFrame([(1, "http://spam-farm.test/z"), (2, "http://pills.test/z"), (3, "http://aa.test/x")], "page_id bigint, url string")
+    assert {x["page_id"]: x["verdict"] for x in url_filter.judge(pages, labelled).collect()} == {1: "block", 2: "block", 3: "allow"}
+
+
 # Chat formatting
 
 
