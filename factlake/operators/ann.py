@@ -6,6 +6,7 @@ They trade recall for rows scanned; both are reported, and exact search stays th
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,11 +29,15 @@ def ivf(block_rows: DataFrame, centres: DataFrame, query: Sequence[float], k: in
 
 def ivf_batch(block_rows: DataFrame, centres: DataFrame, queries: DataFrame, k: int, probes: int) -> DataFrame:
     """(query_id, sid, dist, place) for every query (query_id, vector): the k nearest within the
-    ``probes`` blocks nearest to it. Centres, one row per block, and the counted query set go to
-    every executor; a block's rows meet the queries that probe it."""
-    names, asked = knn.query_set(queries)
+    ``probes`` blocks nearest to it. Centres, one row per block, and BROADCAST_ROWS queries at once
+    go to every executor; a block's rows meet the queries that probe it."""
     cells = centres.orderBy("block_id").toPandas()
-    middles = np.stack(cells["centroid"].to_numpy()) if len(cells) else np.empty((0, asked.shape[1]))
+    return knn.best(reduce(DataFrame.union, [_probe(block_rows, cells, queries, block, k, probes) for block in knn.query_sets(queries)]), k)
+
+
+def _probe(block_rows: DataFrame, cells: pd.DataFrame, queries: DataFrame, block: tuple[np.ndarray, np.ndarray], k: int, probes: int) -> DataFrame:
+    names, asked = block
+    middles = np.stack(cells["centroid"].to_numpy()) if len(cells) and len(names) else np.empty((0, asked.shape[1]))
     far = (asked**2).sum(1)[:, None] - 2 * asked @ middles.T + (middles**2).sum(1)
     probed = np.argsort(far, axis=1, kind="stable")[:, :probes]
     by_block = {int(b): np.flatnonzero((probed == i).any(1)) for i, b in enumerate(cells["block_id"])}
@@ -46,7 +51,7 @@ def ivf_batch(block_rows: DataFrame, centres: DataFrame, queries: DataFrame, k:
                 yield from knn.closest(names[own], asked[own], rows["sid"].to_numpy(), np.stack(rows["embedding"].to_numpy()).astype(np.float64), k)
 
     fitting = block_rows.where(F.size("embedding") == asked.shape[1]).select("block_id", "sid", "embedding")
-    return knn.best(fitting.mapInPandas(run, f"query_id {dict(queries.dtypes)['query_id']}, sid bigint, dist double"), k)
+    return fitting.mapInPandas(run, f"query_id {dict(queries.dtypes)['query_id']}, sid bigint, dist double")
 
 
 def build_ivf(grains: DataFrame, cells: int, seed: int = 1) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,8 @@ The vector view psi has the newest version of each (sid, pred); unembeddable one
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -63,14 +65,16 @@ def closest(names: np.ndarray, asked: np.ndarray, sids: np.ndarray, data: np.nda
         yield pd.DataFrame({"query_id": some[q], "sid": sids[v], "dist": ((data[v] - part[q]) ** 2).sum(1)})
 
 
-def query_set(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors of ``queries`` (query_id, vector), counted: BROADCAST_ROWS at most, as they
-    go to every executor. Beyond that the caller splits the set."""
-    rows = queries.select("query_id", "vector").limit(BROADCAST_ROWS + 1).toPandas()
-    if len(rows) > BROADCAST_ROWS:
-        raise ValueError(f"at most {BROADCAST_ROWS} queries at once")
-    vectors = [np.asarray(v, dtype=np.float64) for v in rows["vector"]]
-    return rows["query_id"].to_numpy(), np.stack(vectors) if vectors else np.empty((0, 0))
+def query_sets(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of ``queries`` (query_id, vector) in blocks of BROADCAST_ROWS at most, as a
+    block goes to every executor; one empty block without queries. One read of ``queries``, of
+    which the driver holds a partition and a block."""
+    rows, block = queries.select("query_id", "vector").toLocalIterator(), None
+    while block is None or len(block) == BROADCAST_ROWS:
+        last, block = block, list(islice(rows, BROADCAST_ROWS))
+        if block or last is None:
+            vectors = [np.asarray(r["vector"], dtype=np.float64) for r in block]
+            yield np.array([r["query_id"] for r in block]), np.stack(vectors) if vectors else np.empty((0, 0))
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
@@ -82,18 +86,22 @@ def best(found: DataFrame, k: int) -> DataFrame:
 def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, sid, dist, place) of the k nearest for every query (query_id, vector).
 
-    Each Arrow batch of vectors meets all queries and keeps k candidates a query.
+    Each Arrow batch of vectors meets all queries of a block and keeps k candidates a query; the
+    vectors are read once for each block of BROADCAST_ROWS queries.
     """
-    names, asked = query_set(queries)
-    sent = vectors.sparkSession.sparkContext.broadcast((names, asked))
+    return best(reduce(DataFrame.union, [_meet(vectors, queries, block, k) for block in query_sets(queries)]), k)
+
+
+def _meet(vectors: DataFrame, queries: DataFrame, block: tuple[np.ndarray, np.ndarray], k: int) -> DataFrame:
+    sent = vectors.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 yield from closest(*sent.value, batch["sid"].to_numpy(), np.stack(batch["embedding"].to_numpy()).astype(np.float64), k)
 
-    fitting = vectors.where(F.size("embedding") == asked.shape[1]).select("sid", "embedding")
-    return best(fitting.mapInPandas(run, f"query_id {dict(queries.dtypes)['query_id']}, sid bigint, dist double"), k)
+    fitting = vectors.where(F.size("embedding") == block[1].shape[1]).select("sid", "embedding")
+    return fitting.mapInPandas(run, f"query_id {dict(queries.dtypes)['query_id']}, sid bigint, dist double")
 
 
 def recall(exact: DataFrame, got: DataFrame, k: int) -> DataFrame:

@@ -284,3 +284,19 @@ def test_store_and_services(spark, tmp_path):
     assert api.rpc(store, '{"method": "initialized"}') is None and "error" in api.rpc(store, '{"id": 3, "method": "x"}')
     assert store.load(spark.createDataFrame([(0, 0, 0, "blue sky")], "sid bigint, category int, amount bigint, text string"), upsert=True).new == 1
     assert store.query("blue sky", 1).first()["text"] == "blue sky"
+
+
+def test_more_queries_than_go_at_once(spark, monkeypatch):
+    """Query sets beyond the bound, at it and empty give what one block gives."""
+    df, _, _ = vectors(spark, 300, dim=8)
+    rows, centres = ann.build_ivf(df, 6)
+    rows, centres = rows.cache(), centres.cache()
+    some = df.where("sid < 20").select(F.col("sid").alias("query_id"), F.col("embedding").alias("vector"))
+    found = lambda of: [sorted(map(tuple, x.collect())) for x in (knn.nearest_batch(df, of, 4), ann.ivf_batch(rows, centres, of, 4, 3))]
+    want = found(some)
+    assert len(want[0]) == len(want[1]) == 80
+    for bound, blocks in ((7, 3), (10, 2), (20, 1)):
+        monkeypatch.setattr(knn, "BROADCAST_ROWS", bound)
+        assert [len(names) <= bound for names, _ in knn.query_sets(some)] == [True] * blocks
+        assert found(some) == want
+    assert found(some.limit(0)) == [[], []]
