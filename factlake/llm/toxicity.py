@@ -25,7 +25,7 @@ TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1200, 2500, 12_000
 EPOCHS = 10
 THRESHOLD = 0.3
 
-WINDOW, STRIDE = 32, 16
+WINDOW, STRIDE = 32, 8
 D, H, A = 8, 8, 8
 WORD_ROWS, GRAM_ROWS = 1 << 16, 1 << 18
 GRAMS = (3, 4, 5, 6)

@@ -136,6 +136,13 @@ def test_windows_overlap_and_cover():
         assert mine[0] == 0 and mine[-1] + toxicity.WINDOW >= size
 
 
+def test_short_runs_lie_whole_in_a_window():
+    """Any run of up to 25 words, wherever it begins, is read in one piece."""
+    _, start, _ = toxicity.window_starts(np.array([200]))
+    for first in range(200 - 25 + 1):
+        assert any(s <= first and first + 25 <= s + toxicity.WINDOW for s in start), first
+
+
 def test_network_finds_toxic_stems_in_held_out_rows(tables):
     docs, labels, truth = tables
     network = toxicity.learn(docs, labels)
