@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import l2, l2_sq_to
@@ -143,6 +143,19 @@ def surviving(described: DataFrame, query: Sequence[float], k: int) -> tuple[lis
     return [r["block_id"] for r in rows if r["low"] <= limit] if k > 0 else [], len(rows)
 
 
+def touched(described: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, touched, total): how many blocks ``surviving`` leaves, for every query (query_id,
+    vector) with its own id. One row per block goes to every executor."""
+    d = l2(F.col("vector"), F.col("centroid"))
+    each = queries.crossJoin(F.broadcast(described.select("centroid", "radius", F.col("n").alias("size"))))
+    each = each.select("query_id", "size", (d + F.col("radius")).alias("high"), (d - F.col("radius")).alias("low"))
+    reached = F.sum("size").over(Window.partitionBy("query_id").orderBy("high").rowsBetween(Window.unboundedPreceding, 0))
+    each = each.withColumn("seen", reached)
+    limit = F.min(F.when(F.col("seen") >= k, F.col("high") * (1 + 1e-12))).over(Window.partitionBy("query_id"))
+    ended = each.withColumn("most", limit).groupBy("query_id")
+    return ended.agg(F.count(F.when(F.col("most").isNull() | (F.col("low") <= F.col("most")), 1)).alias("touched"), F.count("*").alias("total"))
+
+
 def near(blocks: DataFrame, described: DataFrame, query: Sequence[float], k: int) -> tuple[DataFrame, Stats]:
     """The exact k nearest (sid, dist, true distance), reading only surviving blocks."""
     hit, total = surviving(described, query, k)

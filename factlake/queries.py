@@ -684,12 +684,11 @@ def block_near(spark, sf_dir):
 
 @query()
 def block_stats(spark, sf_dir):
-    """Blocks read for ten queries near latent centres, and by a block's Bloom filter."""
-    rows = kept(blocks.assign_kmeans(views.grains_clustered(spark, 5000), 64))
-    described = kept(blocks.descriptors(rows))
-    asked = [r["embedding"] for r in rows.where("sid % 500 = 0").orderBy("sid").select("embedding").collect()]
-    touched = [blocks.surviving(described, v, K) for v in asked]
-    return spark.createDataFrame([(i, len(hit), total) for i, (hit, total) in enumerate(touched)], "query_id bigint, touched bigint, total bigint")
+    """Blocks that each query whose id is divisible by 20 reads, among as many generated vectors near
+    latent centres as there are embeddings, which have no clusters."""
+    rows = kept(blocks.assign_kmeans(views.grains_clustered(spark, vecs(spark, sf_dir).count()), 64))
+    asked = rows.where(F.col("sid") % 20 == 0).select(F.col("sid").alias("query_id"), F.col("embedding").alias("vector"))
+    return blocks.touched(kept(blocks.descriptors(rows)), asked, K)
 
 
 @query(f"WITH {VEC} SELECT count(DISTINCT category) AS blocks FROM grains")

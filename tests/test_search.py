@@ -300,3 +300,17 @@ def test_more_queries_than_go_at_once(spark, monkeypatch):
         assert [len(names) <= bound for names, _ in knn.query_sets(some)] == [True] * blocks
         assert found(some) == want
     assert found(some.limit(0)) == [[], []]
+
+
+def test_block_statistics_of_a_query_set(spark):
+    """Each query's blocks are those that the search of one query leaves; the query grows with its table."""
+    from factlake import queries
+
+    rows = blocks.assign_kmeans(views.grains_clustered(spark, 600), 12).cache()
+    described = blocks.descriptors(rows).cache()
+    asked = rows.where("sid % 100 = 0").select(F.col("sid").alias("query_id"), F.col("embedding").alias("vector"))
+    for k in (1, 10, 1000):
+        want = {r["query_id"]: (len(hit), n) for r in asked.collect() for hit, n in [blocks.surviving(described, r["vector"], k)]}
+        assert {r["query_id"]: (r["touched"], r["total"]) for r in blocks.touched(described, asked, k).collect()} == want
+    n = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").count()
+    assert queries.block_stats(spark, "/root/testdata/sf0.01").count() == -(-n // 20)
