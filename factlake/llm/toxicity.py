@@ -1,9 +1,9 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A text is cut into overlapping windows of words. A word's input is the vector of the word plus the
-mean of the vectors of its character n-grams (both hashed). Two gated recurrent units read the
-window from either side, attention weighs their states, and a window's score is the logistic of
-the weighted sum. A text is as toxic as its most toxic window, in fitting and in scoring.
+mean of the vectors of its character n-grams (both hashed, all learned from a random start). Two
+gated recurrent units read the window from either side, attention weighs their states, and a
+window's score is the logistic of the weighted sum. A text is as toxic as its most toxic window.
 """
 
 from __future__ import annotations
@@ -22,30 +22,41 @@ from .samples import fold, labelled
 
 #: Bounds of the sample that the network is fitted on.
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1200, 2500, 12_000
-EPOCHS = 10
 THRESHOLD = 0.3
 
 WINDOW, STRIDE = 32, 8
-D, H, A = 8, 8, 8
+D, H, A = 12, 12, 12
 WORD_ROWS, GRAM_ROWS = 1 << 16, 1 << 18
 GRAMS = (3, 4, 5, 6)
 
+#: How sharply the windows of a toxic text are drawn by their odds, phase by phase, and the share of
+#: the full steps that are taken. At first any window stands for its text, at last only the most
+#: toxic one does.
+PHASES = ((0.0, 1.0), (1.0, 1.0), (1.0, 1.0), (2.0, 1.0), (4.0, 1.0), (HARD := 100.0, 1.0), (HARD, 0.4), (HARD, 0.1))
+
+#: Windows drawn of a toxic text in a round, texts in a step, and the steps that a phase has at
+#: least: a small sample is read in several rounds a phase.
+DRAWS, STEP, LEAST_STEPS = 4, 128, 40
+
+#: Every how many words a window is taken while fitting.
+FIT_STRIDE = 16
+
 #: Share of words whose own vector is left out of a fitting step, so that n-grams must do.
 DROPPED = 0.5
 EDGE = ".,;:!?\"'()[]{}«»„“”…-*#%&$|<>"
 
 #: Step of the vectors' largest change. All rows share the scale, so rare words and n-grams, with
 #: their small gradients, move little and frequent ones decide.
-PACE = 0.3
+PACE = 0.6
 
-#: Pull of the other parameters towards 0.
-DECAY = 5e-3
+#: Step of the other parameters, and their pull towards 0.
+RATE, DECAY = 0.01, 1e-4
 
 #: Words that one worker remembers; beyond it the memory starts anew.
 REMEMBERED = 100_000
 
-#: Windows that are read at once.
-BATCH = 4096
+#: Windows that are read at once: their states fit in a core's cache.
+BATCH = 1024
 
 
 def split(text: str) -> list[str]:
@@ -82,11 +93,11 @@ def bent(x: np.ndarray) -> np.ndarray:
     return 2 / (1 + np.exp(-2 * x)) - 1
 
 
-def window_starts(n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def window_starts(n_words: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, first word in the text, number of windows of each text); every text has one at least."""
-    n = np.maximum(1, -(-(n_words - WINDOW) // STRIDE) + 1)
+    n = np.maximum(1, -(-(n_words - WINDOW) // stride) + 1)
     text = np.repeat(np.arange(len(n)), n)
-    return text, (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * STRIDE, n
+    return text, (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * stride, n
 
 
 class Network:
@@ -125,16 +136,17 @@ class Network:
         saved: dict[str, list] = {"f": [None] * WINDOW, "b": [None] * WINDOW}
         word = windows.T.copy()
         absent = word == 0
+        empty, some = absent.all(1), absent.any(1)
         for side, steps in (("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1))):
             h, weights, part = np.zeros((n, H), np.float32), p[f"h{side}"], slice(0, H) if side == "f" else slice(H, None)
             for t in steps:
-                x = gates[side][word[t]]
-                if absent[t].all():
+                if empty[t]:
                     continue
-                turned = h @ weights
+                x, turned = gates[side].take(word[t], 0), h @ weights
                 zr = logistic(x[:, : 2 * H] + turned[:, : 2 * H])
                 z, r = zr[:, :H], zr[:, H:]
-                z[absent[t]] = 1
+                if some[t]:
+                    z[absent[t]] = 1
                 new = bent(x[:, 2 * H :] + r * turned[:, 2 * H :])
                 if keep:
                     saved[side][t] = (h, z, r, new, turned[:, 2 * H :])
@@ -218,12 +230,12 @@ class Reader:
             self.gates = {side: np.concatenate([self.gates[side], more[side][1:]]) for side in "fb"}
         return out
 
-    def windows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, texts: list[str], stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
         """(windows as word numbers, number of windows of each text)."""
         words = [split(t) for t in texts]
         n_words = np.array([len(w) for w in words], dtype=np.int64)
         numbers = np.append(self.numbers([w for ws in words for w in ws]), 0)
-        text, start, n = window_starts(n_words)
+        text, start, n = window_starts(n_words, stride)
         at = start[:, None] + np.arange(WINDOW)
         first = (np.cumsum(n_words) - n_words)[text]
         return numbers[np.where(at < n_words[text][:, None], first[:, None] + at, len(numbers) - 1)], n
@@ -238,33 +250,35 @@ class Reader:
         return logistic(most.astype(np.float64))
 
 
-def leaning(met: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """How much more often a row is met in toxic texts than in clean ones: log odds, brought nearer
-    to 0 by some standard errors; ``met`` counts texts by class and row, ``n`` by class. More texts
-    have more rare rows that lean by chance, so the errors taken off grow with their number. The
-    first of a vector's numbers starts as this."""
-    odds = np.log((met[1] + 0.5) / (n[1] + 1)) - np.log((met[0] + 0.5) / (n[0] + 1))
-    error = np.sqrt(1 / (met[1] + 0.5) + 1 / (met[0] + 0.5))
-    sure = np.maximum(0, np.abs(odds) - np.log10(1 + n[1]) * error)
-    return (np.sign(odds) * sure * (met.sum(0) > 0)).astype(np.float32)
+def drawn(odds: np.ndarray, first: np.ndarray, n: np.ndarray, sharpness: float, r: np.random.Generator) -> np.ndarray:
+    """One window of each text, by chance in proportion to exp(sharpness * odds); the most toxic one
+    if ``sharpness`` is HARD."""
+    pull = odds if sharpness >= HARD else odds * sharpness + r.gumbel(size=len(odds))
+    order = np.lexsort((pull, np.repeat(np.arange(len(n)), n)))
+    return order[first + n - 1]
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network:
-    """Fitted on each text's most toxic window so far, and a random one of clean texts.
+def fit(texts: list[str], labels: np.ndarray, phases: tuple[tuple[float, float], ...] = PHASES, seed: int = 7) -> Network:
+    """Fitted from a random start on windows drawn of toxic texts, and on the most toxic window so
+    far and a random one of clean texts.
 
-    Without texts the network is as it starts, and scores are alike for all.
+    A text's label says that some window of it is toxic, not which. So windows are drawn at first
+    by chance: what toxic windows have in common raises their odds, and they are drawn the more.
+    Toxic windows weigh as much as all clean ones; the bias takes the weight back at the end.
+    Without texts of both kinds the network is as it starts, and scores are nearly alike for all.
     """
     network, r = Network(seed), np.random.default_rng(seed)
-    if not len(texts):
+    toxic = labels == 1
+    if not toxic.any() or toxic.all():
         return network
     words = sorted({w for t in texts for w in split(t)})
-    parts = [rows_of(words[i : i + 10 * BATCH]) for i in range(0, len(words), 10 * BATCH)] or [rows_of([])]
+    parts = [rows_of(words[i : i + 40_000]) for i in range(0, len(words), 40_000)] or [rows_of([])]
     word_rows, flat, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
     ends = np.cumsum(sizes)
     reader = Reader(network, remembered=float("inf"))  # the sample is bounded
     reader.rows = {w: i + 1 for i, w in enumerate(words)}
     reader.gates = {side: np.zeros((len(words) + 1, 3 * H), np.float32) for side in "fb"}
-    parts = [reader.windows(part) for part in pieces(texts, 1_000_000)]
+    parts = [reader.windows(part, FIT_STRIDE) for part in pieces(texts, 1_000_000)]
     windows, n = np.concatenate([w.astype(np.int32) for w, _ in parts]), np.concatenate([k for _, k in parts])
     first = np.cumsum(n) - n
     del parts
@@ -275,62 +289,69 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
         shift = np.repeat(ends[some_words] - np.cumsum(size), size)
         return flat[np.arange(len(shift)) + shift]
 
-    met = {"words": np.zeros((2, WORD_ROWS)), "grams": np.zeros((2, GRAM_ROWS))}
-    for f, k, label in zip(first, n, labels, strict=True):
-        own = np.unique(windows[f : f + k])
-        own = own[own > 0] - 1
-        met["words"][label, np.unique(word_rows[own])] += 1
-        met["grams"][label, np.unique(grams_of(own))] += 1
-    for part, counts in met.items():
-        network.p[part][:, 0] = leaning(counts, np.bincount(labels, minlength=2))
-    del met
     above = [k for k in network.p if k not in ("words", "grams")]
     m = {k: np.zeros_like(network.p[k]) for k in above}
     v = {k: np.zeros_like(network.p[k]) for k in above}
     scale, step = {"words": 0.0, "grams": 0.0}, 0
-    for epoch in range(epochs):
-        chance = first + r.integers(0, 1 << 30, len(texts)) % n
-        vectors = network.vectors(word_rows, flat, sizes)
-        if epoch == 0:
-            odds = np.append(0, np.maximum(vectors[:, 0], 0))[windows].sum(1)
-        else:
-            reader.gates = network.gates(vectors)
-            odds = reader.odds(windows)
-        top = np.array([f + int(np.argmax(odds[f : f + k])) for f, k in zip(first, n, strict=True)])
-        chosen, truth = np.concatenate([top, chance[labels == 0]]), np.concatenate([labels, np.zeros(int((labels == 0).sum()), dtype=labels.dtype)])
-        order = r.permutation(len(chosen))
-        for part in np.array_split(order, max(1, len(order) // 128)):
-            ids, local = np.unique(windows[chosen[part]], return_inverse=True)
-            none = ids[0] == 0
-            used = ids[1:] - 1 if none else ids - 1
-            local = local.reshape(len(part), WINDOW) + (0 if none else 1)
-            grams = grams_of(used)
-            some = sizes[used]
-            seen = (r.random(len(used)) >= DROPPED).astype(np.float32)[:, None]
-            vectors = network.vectors(word_rows[used], grams, some) - (1 - seen) * network.p["words"][word_rows[used]]
-            odds, kept = network.read(local, network.gates(vectors), keep=True)
-            loss = ((logistic(odds) - truth[part]) / len(part)).astype(np.float32)
-            g, d_vectors = network.slopes(loss, kept, vectors)
-            step += 1
-            rate = 0.02 * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-            for k, slope in g.items():
-                slope = slope + DECAY * network.p[k]
-                m[k] = 0.9 * m[k] + 0.1 * slope
-                v[k] = 0.99 * v[k] + 0.01 * slope**2
-                network.p[k] -= (rate * 0.5 * m[k] / (np.sqrt(v[k]) + 1e-8)).astype(np.float32)
-            for k, at, slope in (("words", word_rows[used], seen * d_vectors), ("grams", grams, np.repeat(d_vectors / some[:, None], some, axis=0))):
-                sorted_at = np.argsort(at, kind="stable")
-                hit, begin = np.unique(at[sorted_at], return_index=True)
-                if not len(hit):
-                    continue
-                slope = np.add.reduceat(slope[sorted_at], begin, axis=0)
-                scale[k] = max(1e-12, 0.98 * scale[k] + 0.02 * float((slope**2).sum(1).max())) if step > 1 else float((slope**2).sum(1).max())
-                network.p[k][hit] -= (PACE * slope / np.sqrt(scale[k])).astype(np.float32)
+
+    def learn_from(windows: np.ndarray, truth: np.ndarray, weight: np.ndarray, share: float) -> None:
+        """One step of descent, or a share of one."""
+        nonlocal step
+        ids, local = np.unique(windows, return_inverse=True)
+        none = ids[0] == 0
+        used = ids[1:] - 1 if none else ids - 1
+        local = local.reshape(windows.shape) + (0 if none else 1)
+        grams = grams_of(used)
+        some = sizes[used]
+        seen = (r.random(len(used)) >= DROPPED).astype(np.float32)[:, None]
+        vectors = network.vectors(word_rows[used], grams, some) - (1 - seen) * network.p["words"][word_rows[used]]
+        odds, kept = network.read(local, network.gates(vectors), keep=True)
+        loss = ((logistic(odds) - truth) * weight / len(truth)).astype(np.float32)
+        g, d_vectors = network.slopes(loss, kept, vectors)
+        step += 1
+        rate = share * RATE * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
+        for k, slope in g.items():
+            slope = slope + DECAY * network.p[k]
+            m[k] = 0.9 * m[k] + 0.1 * slope
+            v[k] = 0.99 * v[k] + 0.01 * slope**2
+            network.p[k] -= (rate * m[k] / (np.sqrt(v[k]) + 1e-8)).astype(np.float32)
+        for k, at, slope in (("words", word_rows[used], seen * d_vectors), ("grams", grams, np.repeat(d_vectors / some[:, None], some, axis=0))):
+            sorted_at = np.argsort(at, kind="stable")
+            hit, begin = np.unique(at[sorted_at], return_index=True)
+            if not len(hit):
+                continue
+            slope = np.add.reduceat(slope[sorted_at], begin, axis=0)
+            scale[k] = max(1e-12, 0.98 * scale[k] + 0.02 * float((slope**2).sum(1).max())) if step > 1 else max(1e-12, float((slope**2).sum(1).max()))
+            network.p[k][hit] -= (share * PACE * slope / np.sqrt(scale[k])).astype(np.float32)
+
+    odds = np.zeros(len(windows), np.float32)
+    for phase, (sharp, share) in enumerate(phases):
+        taken = 0
+        while taken < LEAST_STEPS:
+            if phase or taken:
+                reader.gates = network.gates(network.vectors(word_rows, flat, sizes))
+                odds = reader.odds(windows)
+            bad = [drawn(odds, first, n, sharp, r)[toxic] for _ in range(1 if sharp >= HARD else DRAWS)]
+            chance = first + r.integers(0, 1 << 30, len(texts)) % n
+            good = [chance[~toxic], drawn(odds, first, n, HARD, r)[~toxic]]
+            chosen = np.concatenate(bad + good)
+            truth = np.arange(len(chosen)) < sum(map(len, bad))
+            balance = (len(chosen) - truth.sum()) / truth.sum()
+            order = r.permutation(len(chosen))
+            for part in np.array_split(order, max(1, len(order) // STEP)):
+                learn_from(windows[chosen[part]], truth[part], np.where(truth[part], balance, 1), share)
+                taken += 1
+    network.p["k"] -= np.float32(np.log(balance))
     return network
 
 
 def score(docs: DataFrame, network: Network, column: str = "score") -> DataFrame:
-    """``docs`` with a score of every whole text; null texts count as empty. All columns stay."""
+    """``docs`` with a score of every whole text, 0 to 1, in a new column.
+
+    Null and empty texts have one window without words and get its score; equal texts get equal
+    scores; an empty table stays empty. All columns stay, but one that is called ``column`` (in any
+    case of letters) already is replaced.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(network)
 
     @F.pandas_udf("double")

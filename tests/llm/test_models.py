@@ -1,6 +1,7 @@
 """Fitted operators: held-out accuracy, gradients and recursions against brute force; BPE against the library."""
 
 import itertools
+import math
 import random
 import zlib
 
@@ -127,6 +128,46 @@ def test_gradients_equal_differences():
     assert abs((up - down) / 2e-3 - d_vectors[3, 2]) < 2e-2
 
 
+def plain_odds(network, words):
+    """Log odds of one window, number by number, from the definition."""
+    p, h, d = {k: v.tolist() for k, v in network.p.items()}, toxicity.H, toxicity.D
+    sigma = lambda x: 1 / (1 + math.exp(-x))
+    inputs = []
+    for word in words:
+        row, grams, _ = toxicity.rows_of([word])
+        means = [sum(p["grams"][g][i] for g in grams) / len(grams) for i in range(d)]
+        inputs.append([p["words"][row[0]][i] + means[i] for i in range(d)])
+    states = {}
+    for side in "fb":
+        state, walk = [0.0] * h, list(enumerate(inputs))
+        for t, x in walk if side == "f" else walk[::-1]:
+            fed = [sum(x[i] * p[f"x{side}"][i][j] for i in range(d)) + p[f"c{side}"][j] for j in range(3 * h)]
+            back = [sum(state[i] * p[f"h{side}"][i][j] for i in range(h)) for j in range(3 * h)]
+            z = [sigma(fed[j] + back[j]) for j in range(h)]
+            r = [sigma(fed[h + j] + back[h + j]) for j in range(h)]
+            new = [math.tanh(fed[2 * h + j] + r[j] * back[2 * h + j]) for j in range(h)]
+            state = [z[j] * state[j] + (1 - z[j]) * new[j] for j in range(h)]
+            states[side, t] = state
+    both = [states["f", t] + states["b", t] for t in range(len(words))]
+    lit = [[math.tanh(sum(s[i] * p["u"][i][a] for i in range(2 * h))) for a in range(toxicity.A)] for s in both]
+    pull = [math.exp(sum(x * y for x, y in zip(row, p["v"], strict=True))) for row in lit]
+    pooled = [sum(w * s[i] for w, s in zip(pull, both, strict=True)) / sum(pull) for i in range(2 * h)]
+    return sum(x * y for x, y in zip(pooled, p["o"], strict=True)) + p["k"][0]
+
+
+def test_scores_equal_a_plain_forward_pass():
+    network, r = toxicity.Network(5), random.Random(2)
+    network.p["words"] *= 50  # far from zero, so that all parts tell
+    network.p["grams"] *= 50
+    texts = [" ".join(r.choice(["Anson,", "tider", "melt", "ÖF", "x", "#", "lome."]) for _ in range(n)) for n in (1, 5, 32, 33, 75)]
+    got = toxicity.Reader(network).score(texts)
+    for text, score in zip(texts, got, strict=True):
+        words = toxicity.split(text)
+        starts = [0] if len(words) <= toxicity.WINDOW else range(0, len(words) - toxicity.WINDOW + toxicity.STRIDE, toxicity.STRIDE)
+        most = max(plain_odds(network, words[i : i + toxicity.WINDOW]) for i in starts)
+        assert abs(1 / (1 + math.exp(-most)) - score) < 1e-4
+
+
 def test_windows_overlap_and_cover():
     n_words = np.array([0, 1, 31, 32, 33, 48, 49, 200])
     text, start, n = toxicity.window_starts(n_words)
