@@ -8,14 +8,21 @@ big-endian float), t_valid (8), value.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import struct
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..errors import Corrupt
+
+#: Sizes of a store value's parts, and of a stored value's fixed part.
 CATEGORY_BYTES, AMOUNT_BYTES = 1, 8
+VALUE_HEAD = 13
+
+#: Tokens of any fact, and bytes of a value that are one more.
+FACT_TOKENS, TOKEN_BYTES = 8, 4
 
 
 def big_endian(value: Column, size: int) -> Column:
@@ -41,6 +48,41 @@ def decode_store_value(value: Column) -> Column:
     )
 
 
+def encode_value(op: Column, c: Column, t_valid: Column, value: Column) -> Column:
+    """A stored value: op, confidence, valid time and the value (null: empty); null if any other is."""
+
+    @F.pandas_udf("binary")
+    def confidence(c: pd.Series) -> pd.Series:
+        return c.map(lambda x: None if pd.isna(x) else np.array(x, dtype=">f4").tobytes())
+
+    return F.concat(big_endian(op, 1), confidence(c), big_endian(t_valid, 8), F.coalesce(value, F.unhex(F.lit(""))))
+
+
+def decode_value(stored: Column) -> Column:
+    """struct(op, c, t_valid, val) of a stored value. One shorter than its fixed part stops the query."""
+    short = F.octet_length(stored) < VALUE_HEAD
+    checked = F.when(short, F.raise_error(F.concat(F.lit("corrupt value: "), F.octet_length(stored).cast("string"), F.lit(" bytes"))).cast("binary")).otherwise(stored)
+
+    @F.pandas_udf("float")
+    def confidence(c: pd.Series) -> pd.Series:
+        return c.map(lambda x: None if x is None else np.frombuffer(x, dtype=">f4")[0])
+
+    return F.struct(
+        header_byte(checked, 0).alias("op"),
+        confidence(F.substring(checked, 2, 4)).alias("c"),
+        F.conv(F.hex(F.substring(checked, 6, 8)), 16, -10).cast("long").alias("t_valid"),
+        F.substring(checked, VALUE_HEAD + 1, 2**31 - 1).alias("val"),
+    )
+
+
+def value_parts(stored: bytes) -> tuple[int, float, int, bytes]:
+    """``decode_value`` of one value, on the driver; Corrupt if it is too short."""
+    if len(stored) < VALUE_HEAD:
+        raise Corrupt(f"a stored value has {VALUE_HEAD} bytes at least, not {len(stored)}")
+    op, c, t_valid = struct.unpack(">BfQ", stored[:VALUE_HEAD])
+    return op, c, t_valid, stored[VALUE_HEAD:]
+
+
 def header_byte(value: Column, offset: int) -> Column:
     """The byte at an offset, 0 to 255; null past the end."""
     byte = F.substring(value, offset + 1, 1)
@@ -82,12 +124,8 @@ def decode_vector(value: Column, header: int, dim: int) -> Column:
 
 def grain_tokens(size: Column) -> Column:
     """Token estimate of a value of ``size`` bytes: a fixed 8 plus a quarter; a tombstone has 8."""
-    return (F.floor(F.coalesce(size, F.lit(0)) / 4) + 8).cast("long")
+    return (F.floor(F.coalesce(size, F.lit(0)) / TOKEN_BYTES) + FACT_TOKENS).cast("long")
 
 
 def redacted(masked: Column, value: Column) -> Column:
     return F.when(masked, F.lit("[REDACTED]")).otherwise(value)
-
-
-def floats(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)).cast("float") for v in values])

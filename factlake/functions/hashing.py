@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,17 +50,25 @@ def crc32(data: Column) -> Column:
     return F.crc32(data.cast("binary"))
 
 
-def shard_of(sid: Column, shards: int) -> Column:
-    """Shard of a sid below 2**64 (its high half is 0): its bits mixed by one product between two
-    shifts, modulo the shards."""
+def times(x: Column, factor: int) -> tuple[Column, Column]:
+    """(low 32 bits, the rest) of the product of a number below 2**32 with a fixed one; no step
+    comes near 2**63, as the factor goes in by halves."""
+    low, high = x * F.lit(factor & 0xFFFF), x * F.lit(factor >> 16)
+    part = low + F.shiftleft(high.bitwiseAND(F.lit(0xFFFF)), 16)
+    return part.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftright(part, 32) + F.shiftright(high, 16)
 
-    @F.pandas_udf("bigint")
-    def run(sids: pd.Series) -> pd.Series:
-        x = sids.to_numpy(np.int64).view(U64)
-        x = (x ^ (x >> U64(33))) * U64(ROUTER)
-        return pd.Series(((x ^ (x >> U64(33))) % U64(shards)).astype(np.int64))
 
-    return run(sid)
+def shard_of(sid: Column, shards: int) -> Column:
+    """Shard of a sid below 2**64 (its high half is 0): its bits mixed by one product between two
+    shifts, modulo the shards. In two halves of 32 bits, so that nothing overflows."""
+    mask = F.lit(0xFFFFFFFF)
+    sid = sid.cast("long")
+    mixed = sid.bitwiseXOR(F.shiftrightunsigned(sid, 33))
+    low, high = mixed.bitwiseAND(mask), F.shiftrightunsigned(mixed, 32)
+    a, carry = times(low, ROUTER & 0xFFFFFFFF)
+    b = (carry + times(low, ROUTER >> 32)[0] + times(high, ROUTER & 0xFFFFFFFF)[0]).bitwiseAND(mask)
+    a = a.bitwiseXOR(F.shiftright(b, 1))  # 33 places: the high half, once more to the right
+    return F.pmod(F.pmod(b, F.lit(shards)) * F.lit(2**32 % shards) + a, F.lit(shards)).cast("long")
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:

@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.distance import l2, l2_sq_to
 from ..functions.hashing import bloom_build, bloom_contains, bloom_params, bloom_size
+from ..storage import BROADCAST_ROWS, kept, sized_join
 
+#: Fixed value: bands of confidence.
 BUCKETS = 8
 
 
@@ -44,11 +50,9 @@ def assign_kmeans(grains: DataFrame, blocks: int, iters: int = 10, seed: int = 1
 
 
 def centroids(blocks: DataFrame) -> DataFrame:
-    """(block_id, centroid): element-wise mean. One sum per dimension and block, combined map-side."""
-    each = blocks.select("block_id", F.posexplode("embedding").alias("pos", "x"))
-    means = each.groupBy("block_id", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    ordered = means.groupBy("block_id").agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("a"))
-    return ordered.select("block_id", F.col("a.m").alias("centroid"))
+    """(block_id, centroid): element-wise mean, one running mean per block and task."""
+    vector = array_to_vector(F.col("embedding").cast("array<double>"))
+    return blocks.groupBy("block_id").agg(vector_to_array(Summarizer.mean(vector)).alias("centroid"))
 
 
 def category_counts(blocks: DataFrame) -> DataFrame:
@@ -67,12 +71,20 @@ def zone_map(blocks: DataFrame) -> DataFrame:
 
 
 def descriptors(blocks: DataFrame) -> DataFrame:
-    """One row per block: centroid, radius, preds, t_min, t_max, n, and Bloom sizes."""
-    centre = centroids(blocks)
-    radius = blocks.join(centre, "block_id").groupBy("block_id").agg(F.max(l2(F.col("embedding"), F.col("centroid"))).alias("radius"))
-    preds = blocks.groupBy("block_id").agg(F.sort_array(F.collect_set("pred")).alias("preds"))
+    """One row per block: centroid, radius, preds, t_min, t_max, n, and Bloom sizes. Two reads of
+    the blocks: the centres first, then the rest, with the centres, a row per block, beside it."""
+    vector = array_to_vector(F.col("embedding").cast("array<double>"))
+    one = kept(blocks.groupBy("block_id").agg(vector_to_array(Summarizer.mean(vector)).alias("centroid"), F.count("*").alias("n")))
+    measured = sized_join(blocks.drop("n"), one, "block_id", one.count())
+    out = measured.groupBy("block_id").agg(
+        F.first("centroid").alias("centroid"),
+        F.max(l2(F.col("embedding"), F.col("centroid"))).alias("radius"),
+        F.sort_array(F.collect_set("pred")).alias("preds"),
+        F.min("seq").alias("t_min"),
+        F.max("seq").alias("t_max"),
+        F.first("n").alias("n"),
+    )
     bits, hashes = bloom_params(F.col("n"))
-    out = centre.join(radius, "block_id").join(preds, "block_id").join(zone_map(blocks), "block_id")
     return out.withColumns({"bloom_bits": bits, "bloom_hashes": hashes})
 
 
@@ -101,15 +113,29 @@ def blooms(blocks: DataFrame, p: float = 0.01) -> DataFrame:
     return sized.mapInPandas(parts, "block_id long, part binary, n long").groupBy("block_id").applyInPandas(joined, "block_id long, bloom binary, n long")
 
 
-def may_hold(filters: DataFrame, sids: list[int], p: float = 0.01) -> DataFrame:
-    """(sid, block_id) for each of a few sids and each block whose filter (block_id, bloom, n) may
-    hold it. Filters stay where they are; only the hits come out."""
-    keys = np.array(sids, dtype=np.int64)
+def may_hold(filters: DataFrame, sids: DataFrame | list[int]) -> DataFrame:
+    """(sid, block_id) for each sid and each block whose filter (block_id, bloom, n) may hold it.
+
+    Filters stay where they are; the sids go to them in blocks of BROADCAST_ROWS. Only hits come out.
+    """
+    if isinstance(sids, DataFrame):
+        rows = (r["sid"] for r in sids.select("sid").toLocalIterator())
+    else:
+        rows = iter(sids)
+    parts = []
+    while not parts or len(keys) == BROADCAST_ROWS:
+        keys = np.fromiter(islice(rows, BROADCAST_ROWS), np.int64)
+        parts.append(_probe(filters, keys))
+    return reduce(DataFrame.union, parts)
+
+
+def _probe(filters: DataFrame, keys: np.ndarray, p: float = 0.01) -> DataFrame:
+    sent = filters.sparkSession.sparkContext.broadcast(keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for block, bloom, n in zip(batch["block_id"], batch["bloom"], batch["n"], strict=True):
-                hit = keys[bloom_contains(bloom, keys, *bloom_size(int(n), p))]
+                hit = sent.value[bloom_contains(bloom, sent.value, *bloom_size(int(n), p))]
                 yield pd.DataFrame({"sid": hit, "block_id": block})
 
     return filters.select("block_id", "bloom", "n").mapInPandas(run, "sid long, block_id long")
@@ -159,9 +185,68 @@ def touched(described: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def near(blocks: DataFrame, described: DataFrame, query: Sequence[float], k: int) -> tuple[DataFrame, Stats]:
     """The exact k nearest (sid, dist, true distance), reading only surviving blocks."""
     hit, total = surviving(described, query, k)
-    rows = blocks.where(F.col("block_id").isin(hit) & (F.size("embedding") == len(query)))
-    ranked = rows.withColumn("dist", F.sqrt(l2_sq_to(F.col("embedding"), query))).orderBy("dist", "sid").limit(max(k, 0))
-    return ranked, Stats(len(hit), total)
+    return _ranked(blocks.where(F.col("block_id").isin(hit)), query, k), Stats(len(hit), total)
+
+
+def write(blocks: DataFrame, path: str) -> None:
+    """Blocks as a layout on disk: ``rows`` partitioned by block_id, and the tables ``described``,
+    ``blooms``, ``categories`` and ``confidence`` with a few rows per block. A block's rows lie in
+    as many files as they need, and a reader that names blocks opens no other files."""
+    spark = blocks.sparkSession
+    rows = blocks.where(F.col("block_id").isNotNull())
+    rows.repartition("block_id").write.partitionBy("block_id").parquet(f"{path}/rows")
+    if rows.isEmpty():  # no folder of a block, so no schema
+        rows.drop("block_id").withColumn("block_id", F.lit(0).cast("long")).limit(0).write.mode("overwrite").parquet(f"{path}/rows")
+    stored = Stored(spark, path, rows.drop("block_id").schema).rows()
+    descriptors(stored).write.parquet(f"{path}/described")
+    blooms(stored).write.parquet(f"{path}/blooms")
+    category_counts(stored).write.parquet(f"{path}/categories")
+    confidence_histogram(stored).write.parquet(f"{path}/confidence")
+
+
+class Stored:
+    """Blocks that ``write`` laid out. What a query needn't read is decided by the small tables."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType | None = None):
+        self.spark, self.path = spark, path
+        self.schema = schema
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def rows(self, ids: list[int] | None = None) -> DataFrame:
+        """Rows of the named blocks, or of all; the filter prunes folders."""
+        if self.schema is None:
+            self.schema = StructType([f for f in self.table("rows").schema if f.name != "block_id"])
+        schema = StructType([*self.schema.fields, StructField("block_id", LongType())])
+        out = self.spark.read.schema(schema).parquet(f"{self.path}/rows")
+        return out if ids is None else out.where(F.col("block_id").isin(ids))
+
+    def described(self) -> DataFrame:
+        return self.table("described")
+
+    def nearest_blocks(self, query: Sequence[float], n: int) -> list[int]:
+        """The n blocks whose centres are nearest."""
+        d = l2_sq_to(F.col("centroid"), query)
+        return [r["block_id"] for r in self.described().orderBy(d, "block_id").limit(n).select("block_id").collect()]
+
+    def near(self, query: Sequence[float], k: int) -> tuple[DataFrame, Stats]:
+        """The exact k nearest (sid, dist, true distance), reading only surviving blocks."""
+        hit, total = surviving(self.described(), query, k)
+        return _ranked(self.rows(hit), query, k), Stats(len(hit), total)
+
+    def get(self, sid: int) -> tuple[DataFrame, Stats]:
+        """Rows of one sid, from the blocks whose Bloom filter may hold it."""
+        hit = [r["block_id"] for r in may_hold(self.table("blooms"), [sid]).collect()]
+        return self.rows(hit).where(F.col("sid") == sid), Stats(len(hit), self.described().count())
+
+    def count_category(self, category: int) -> DataFrame:
+        return count_category(self.table("categories"), category)
+
+
+def _ranked(rows: DataFrame, query: Sequence[float], k: int) -> DataFrame:
+    rows = rows.where(F.size("embedding") == len(query))
+    return rows.withColumn("dist", F.sqrt(l2_sq_to(F.col("embedding"), query))).orderBy("dist", "sid").limit(max(k, 0))
 
 
 def count_category(counts: DataFrame, category: int) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.codecs import grain_tokens
 from ..storage import shared_path
 
-#: Tokens of a summary besides its representatives.
+#: Fixed value: tokens of a summary besides its representatives.
 SUMMARY_TOKENS = 16
-#: Results that stay pinned; the oldest go first.
+#: Fixed value: results that stay pinned; the oldest go first.
 CAPACITY = 4096
 
 

@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import l2_sq_to
+from ..functions.hashing import shard_of
 from ..storage import BROADCAST_ROWS
-from . import mvcc
+from . import mvcc, sequence
 
 #: Distances that one step of a matrix product makes.
 BLOCK = 1 << 22
@@ -42,7 +43,7 @@ def nearest(vectors: DataFrame, query: Sequence[float], k: int, where: Column |
 
 def nearest_by_shard(vectors: DataFrame, query: Sequence[float], k: int, shards: int) -> DataFrame:
     """``nearest`` through a top k of each shard, then of their union."""
-    routed = with_distance(vectors, query).withColumn("shard", F.pmod(F.xxhash64("sid"), F.lit(shards)))
+    routed = with_distance(vectors, query).withColumn("shard", shard_of(F.col("sid"), shards))
     order = Window.partitionBy("shard").orderBy("dist", "sid")
     local = routed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
     return local.drop("place", "shard").orderBy("dist", "sid").limit(k)
@@ -110,3 +111,14 @@ def recall(exact: DataFrame, got: DataFrame, k: int) -> DataFrame:
     have = got.groupBy("query_id").agg(F.collect_set("sid").alias("have"))
     hits = F.size(F.array_intersect("want", F.coalesce("have", F.array().cast("array<bigint>"))))
     return want.join(have, "query_id", "left").select("query_id", (hits / k).alias("recall"))
+
+
+def percentile(values: DataFrame, column: str, p: float) -> DataFrame:
+    """(value): the nearest-rank percentile, the value at place round(p / 100 * (n - 1)) of the
+    ordered ones, halves up; 0 without values. Equal values are counted together, so the ranks
+    are over distinct values."""
+    counted = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    n = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    ranked = sequence.running(counted, "value", "n")
+    found = ranked.where(F.col("upto") > int(p / 100 * (n - 1) + 0.5)).agg(F.min("value").alias("value"))
+    return found.select(F.coalesce("value", F.lit(0)).alias("value"))

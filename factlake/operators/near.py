@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codecs import header_byte
+from ..storage import sized_join
 from . import knn
 
 
@@ -43,5 +44,10 @@ def near_select_postfilter(vectors: DataFrame, facts: DataFrame, query: Sequence
     """Candidates from ``vectors``, values from ``facts``; k * over_fetch candidates at most."""
     fetched = max(k * max(over_fetch, 1), k)
     candidates = knn.nearest(vectors.where(F.col("pred") == pred), query, fetched).select("sid", "dist")
-    joined = facts.where(F.col("pred") == pred).join(F.broadcast(candidates), "sid")  # fetched rows at most
+    return with_values(candidates, facts.where(F.col("pred") == pred), k, where, fetched)
+
+
+def with_values(candidates: DataFrame, facts: DataFrame, k: int, where: Column, fetched: int) -> DataFrame:
+    """The k nearest of ``candidates`` (sid, dist), ``fetched`` at most, that are facts and meet ``where``."""
+    joined = sized_join(facts, candidates, "sid", fetched)
     return joined.where(where).orderBy("dist", "sid").limit(k)

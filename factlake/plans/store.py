@@ -56,12 +56,15 @@ class Store:
 
     def load(self, texts: DataFrame, upsert: bool = False) -> Loaded:
         """Commits texts in order of sid; within a load the first of a sid counts."""
-        before = mvcc.total_versions(self.log.read()).first()["total"]
         facts = facts_of(texts, self.dim).withColumn("arrival", F.col("sid"))
         if upsert:
             facts = facts.withColumn("idem_key", F.lit(None).cast("long"))
-        self.log.commit(facts)
-        return Loaded(texts.count(), mvcc.total_versions(self.log.read()).first()["total"] - before)
+        version = self.log.commit(facts)
+        made = self.log.rows_of(self.log.commits().where(F.col("version") == version))
+        return Loaded(texts.count(), made.join(texts.select("sid").distinct(), "sid", "left_semi").count())
+
+    def is_healthy(self) -> bool:
+        return self.log.is_healthy()
 
     def indexed(self) -> int:
         return knn.psi(self.log.read(), self.dim).count()

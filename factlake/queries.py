@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import codecs, hashing
 from .functions.distance import l2, l2_sq
 from .functions.embed import embed_text
-from .operators import ann, blocks, catalog, disclosure, governance, idempotency, knn, mvcc, near, sequence
+from .operators import ann, blocks, catalog, disclosure, governance, graph, idempotency, knn, mvcc, near, sequence
 from .plans import planner
 from .plans import store as text_store
 from .sources import frames, ingest, views
@@ -206,10 +207,20 @@ def store_query(spark, sf_dir):
     return found.select("sid", "category", "amount", F.col("dist").alias("distance"))
 
 
+def _text_twin() -> str:
+    return f"""WITH texts AS (SELECT doc_id AS id, text FROM documents WHERE lang = 'en' UNION ALL SELECT -1, 'the and attion to'), {_EMBED},
+v AS (SELECT p.id, pos, (x / norm)::FLOAT::DOUBLE AS x FROM places p JOIN norms n USING (id)),
+every AS (SELECT t.id, g.pos::INT AS pos FROM (SELECT DISTINCT id FROM v WHERE id >= 0) t, range(0, 64) g(pos)),
+d AS (SELECT e.id, round(sum((coalesce(a.x, 0) - coalesce(q.x, 0)) ** 2), 9) AS distance FROM every e LEFT JOIN v a ON a.id = e.id AND a.pos = e.pos
+  LEFT JOIN v q ON q.id = -1 AND q.pos = e.pos GROUP BY e.id)
+SELECT d.id AS sid, 1 AS category, n_chars AS amount, text, distance FROM d JOIN documents ON doc_id = d.id ORDER BY distance, sid LIMIT 5"""
+
+
 @query()
 def store_query_text(spark, sf_dir):
     facts = text_store.facts_of(views.grains_text(spark, sf_dir))
-    return text_store.hits(facts, "the and attion to", 5, category=1)
+    found = text_store.hits(facts, "the and attion to", 5, category=1)
+    return found.withColumn("distance", F.round("distance", 9))
 
 
 @query(
@@ -277,6 +288,33 @@ def recall_at_k(spark, sf_dir):
     return knn.recall(knn.nearest_batch(table, asked, K), ann.ivf_batch(kept(rows), kept(centres), asked, K, 12), K)
 
 
+@query()
+def knn_graph(spark, sf_dir):
+    """The ten nearest of row 0 by the neighbour graphs."""
+    shards = kept(graph.build(vecs(spark, sf_dir), DIM))
+    asked = vecs(spark, sf_dir).where("sid = 0").select(F.col("sid").alias("query_id"), F.col("embedding").alias("vector"))
+    return graph.search_batch(shards, asked, K, 128).select("sid", "dist")
+
+
+@query()
+def recall_graph(spark, sf_dir):
+    """Recall of the neighbour graphs at effort 128, for ids divisible by 20."""
+    table = vecs(spark, sf_dir)
+    asked = table.where(F.col("sid") % 20 == 0).select(F.col("sid").alias("query_id"), F.col("embedding").alias("vector"))
+    return knn.recall(knn.nearest_batch(table, asked, K), graph.search_batch(kept(graph.build(table, DIM)), asked, K, 128), K)
+
+
+@query(
+    """WITH o AS (SELECT list(n_chars ORDER BY n_chars) AS l FROM documents), p AS (SELECT unnest([50, 90, 99])::INT AS p)
+SELECT p, l[floor(p / 100.0::DOUBLE * (len(l) - 1) + 0.5)::BIGINT + 1] AS value FROM o, p"""
+)
+def percentile_rank(spark, sf_dir):
+    """Nearest-rank percentiles of the documents' lengths."""
+    docs = views.read(spark, sf_dir, "documents")
+    one = [knn.percentile(docs, "n_chars", p).select(F.lit(p).alias("p"), "value") for p in (50, 90, 99)]
+    return one[0].union(one[1]).union(one[2])
+
+
 # Versions.
 
 
@@ -395,7 +433,7 @@ def group_commit(spark, sf_dir):
     group = F.when(F.col("arrival") >= 10**9, 3).otherwise(F.col("sid") % 3)
     for g in range(4):
         for _ in range(2):
-            log.commit(rows.where(group == g), batch_id=g)
+            log.commit(rows.where(group == g), g)
     return log.read().drop("batch_id")
 
 
@@ -404,8 +442,8 @@ def recovery_prefix(spark, sf_dir):
     """All puts were committed, all deletes staged, but their writer lost before the record: they
     aren't in the log."""
     log, rows = new_log(spark), arrivals(spark, sf_dir)
-    log.commit(rows.where("op = 0"), batch_id=0)
-    log.stage(rows.where("op = 1"), batch_id=1)
+    log.commit(rows.where("op = 0"))
+    log.stage(rows.where("op = 1"))
     return log.read().drop("batch_id")
 
 
@@ -464,18 +502,32 @@ def store_stats(spark, sf_dir):
     return facts.where(F.size("embedding") == text_store.DIM).agg(F.count("*").alias("indexed"))
 
 
+@query(f"WITH {ARRIVALS} SELECT idem_key, sid, pred, op, val, (SELECT count(*) FROM firsts) AS high, true AS dense FROM firsts")
+def commit_concurrent(spark, sf_dir):
+    """Twelve writers at once, each with a twelfth of the keys, first rows and repeats alike: every key
+    is there once, with its first row, and the sequences have no gap."""
+    log, rows = new_log(spark), arrivals(spark, sf_dir)
+    with ThreadPoolExecutor(12) as pool:
+        list(pool.map(lambda i: log.commit(rows.where(F.pmod("idem_key", F.lit(12)) == i)), range(12)))
+    out = log.read()
+    facts = out.agg(F.max("seq").alias("high"), (F.count_distinct("seq") == F.max("seq")).alias("dense"))
+    return out.select("idem_key", "sid", "pred", "op", "val").crossJoin(F.broadcast(facts))  # one row
+
+
 @query(
     f"""WITH {ARRIVALS}, numbered AS (SELECT *, row_number() OVER (ORDER BY sid % 3, arrival) AS seq FROM firsts)
 SELECT (SELECT count(*) FROM (SELECT DISTINCT sid, pred FROM numbered)) AS keys, (SELECT max(seq) FROM numbered) AS watermark, true AS in_step"""
 )
 def stream_materialize(spark, sf_dir):
-    """State kept by a stream over two syncs of a growing log equals a batch read of the log."""
+    """State kept by a stream over the syncs of a log that grows by three groups and one of rows sent
+    again, with a batch staged and never recorded, equals a batch read of the log."""
     log, rows = new_log(spark), arrivals(spark, sf_dir)
     state = changes.Materializer(log, 0)
     group = F.when(F.col("arrival") >= 10**9, 3).otherwise(F.col("sid") % 3)
-    watermark = 0
-    for g in range(3):
-        log.commit(rows.where(group == g), batch_id=g)
+    for g in range(4):
+        log.commit(rows.where(group == g), g)
+        if g == 1:
+            log.stage(rows.where(group == 2))
         if g:
             watermark = state.sync()
     have, want = state.state().select("sid", "pred", "seq"), mvcc.newest(log.read()).select("sid", "pred", "seq")
@@ -664,8 +716,7 @@ def block_bloom(spark, sf_dir):
 def bloom_probe(spark, sf_dir):
     """Blocks whose filter may hold each sid that is divisible by 20, and whether they do."""
     rows = by_label(spark, sf_dir)
-    asked = [r["sid"] for r in rows.where("sid % 20 = 0").select("sid").collect()]
-    maybe = blocks.may_hold(blocks.blooms(rows), asked)
+    maybe = blocks.may_hold(kept(blocks.blooms(rows)), rows.where("sid % 20 = 0"))
     return maybe.join(rows.select("sid", F.col("block_id").alias("own")), "sid").select("sid", "block_id", (F.col("block_id") == F.col("own")).alias("holds"))
 
 
@@ -682,6 +733,26 @@ def block_near(spark, sf_dir):
     return found.select("sid", F.round("dist", 12).alias("dist"))
 
 
+def laid_out(spark: SparkSession, sf_dir: str) -> blocks.Stored:
+    """One block per label, written as folders."""
+    path = shared_path(spark, "blocks")
+    blocks.write(by_label(spark, sf_dir), path)
+    return blocks.Stored(spark, path)
+
+
+@query(f"WITH {DIST} SELECT sid, round(sqrt(dist), 12) AS dist FROM dists ORDER BY dists.dist, sid LIMIT 10")
+def block_near_stored(spark, sf_dir):
+    """The ten nearest from blocks on disk; blocks that can't hold one aren't opened."""
+    found, _ = laid_out(spark, sf_dir).near(ask(spark, sf_dir), K)
+    return found.select("sid", F.round("dist", 12).alias("dist"))
+
+
+@query(f"WITH {VEC} SELECT sid, category, seq FROM grains WHERE sid = 42")
+def block_get_stored(spark, sf_dir):
+    """One fact from blocks on disk, of which those are opened whose Bloom filter may hold it."""
+    return laid_out(spark, sf_dir).get(42)[0].select("sid", "category", "seq")
+
+
 @query()
 def block_stats(spark, sf_dir):
     """Blocks that each query whose id is divisible by 20 reads, among as many generated vectors near
@@ -732,17 +803,37 @@ def crc32(spark, sf_dir):
     return log_of(spark, sf_dir).select("seq", hashing.crc32(F.col("val")).alias("crc"))
 
 
-@query()
+@query(
+    """WITH m AS (SELECT vec_id AS sid, (xor(vec_id, vec_id >> 33)::UHUGEINT * 18397679294719823053::UHUGEINT) % 18446744073709551616::UHUGEINT AS x FROM embeddings)
+SELECT sid, (xor(x::UBIGINT, x::UBIGINT >> 33) % 8)::BIGINT AS shard FROM m"""
+)
 def shard_route(spark, sf_dir):
     return vecs(spark, sf_dir).select("sid", hashing.shard_of(F.col("sid"), 8).alias("shard"))
 
 
-@query()
+#: Numbers of each text's embedding in SQL: hashes of its byte n-grams, added up by place with their sign.
+_EMBED = """bytes AS (SELECT id, list_transform(range(1, octet_length(encode(text)) + 1), lambda i: ('0x' || substr(hex(encode(text)), 2 * i - 1, 2))::UTINYINT::UHUGEINT) AS b FROM texts WHERE length(text) > 0),
+grams AS (
+  SELECT id, (xor(14695981039346656037::UHUGEINT, x) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT AS h1, y, z
+  FROM (SELECT id, unnest(b) AS x, unnest(list_concat(b[2:], [NULL])) AS y, unnest(list_concat(b[3:], [NULL, NULL])[:len(b)]) AS z FROM bytes)
+), wider AS (SELECT *, (xor(h1, y) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT AS h2 FROM grams),
+hashes AS (
+  SELECT id, h1 AS h FROM wider UNION ALL SELECT id, h2 FROM wider WHERE y IS NOT NULL
+  UNION ALL SELECT id, (xor(h2, z) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT FROM wider WHERE z IS NOT NULL
+), places AS (SELECT id, (h % 64)::INT AS pos, sum(CASE WHEN h >= 9223372036854775808::UHUGEINT THEN -1 ELSE 1 END)::DOUBLE AS x FROM hashes GROUP BY ALL),
+norms AS (SELECT id, greatest(sqrt(sum(x * x)), 0.000001) AS norm FROM places GROUP BY id)"""
+
+
+@query(f"""WITH texts AS (SELECT doc_id AS id, text FROM documents), {_EMBED}
+SELECT p.id AS doc_id, pos, (x / norm)::FLOAT::DOUBLE AS x FROM places p JOIN norms n USING (id) WHERE x != 0""")
 def embed_text_documents(spark, sf_dir):
-    return views.read(spark, sf_dir, "documents").select("doc_id", embed_text(F.col("text")).alias("embedding"))
+    """The numbers other than 0 of each document's embedding."""
+    made = views.read(spark, sf_dir, "documents").select("doc_id", embed_text(F.col("text")).alias("embedding"))
+    return made.select("doc_id", F.posexplode("embedding").alias("pos", "x")).where("x != 0").withColumn("x", F.col("x").cast("double"))
 
 
-QUERIES["embed_text"] = QUERIES.pop("embed_text_documents")
+QUERIES["embed_text"], ORACLES["embed_text"] = QUERIES.pop("embed_text_documents"), ORACLES.pop("embed_text_documents")
+ORACLES["store_query_text"] = _text_twin()
 
 
 @query(
@@ -770,6 +861,15 @@ def value_codec(spark, sf_dir):
     return rows.select(F.col("sid").alias("doc_id"), codecs.decode_store_value(value).alias("v")).select("doc_id", "v.*")
 
 
+@query(f"WITH {LOG} SELECT seq, op::INT AS op, c::FLOAT::DOUBLE AS c, t_valid, coalesce(val, '') AS val, 13 + strlen(coalesce(val, '')) AS size FROM log")
+def kv_value_codec(spark, sf_dir):
+    """Stored values of the log, packed and read back."""
+    rows = log_of(spark, sf_dir)
+    packed = codecs.encode_value(F.col("op"), F.col("c").cast("float"), F.col("t_valid"), F.encode("val", "UTF-8"))
+    back = rows.select("seq", packed.alias("p")).select("seq", F.octet_length("p").cast("long").alias("size"), codecs.decode_value(F.col("p")).alias("v"))
+    return back.select("seq", "v.op", F.col("v.c").cast("double").alias("c"), "v.t_valid", F.decode("v.val", "UTF-8").alias("val"), "size")
+
+
 @query("SELECT vec_id AS sid, 257 AS size, true AS same FROM embeddings")
 def vector_codec(spark, sf_dir):
     rows = vecs(spark, sf_dir).withColumn("val", codecs.encode_vector(codecs.big_endian(F.col("category"), 1), F.col("embedding")))

@@ -8,12 +8,7 @@ from __future__ import annotations
 
 PUT, DELETE = 0, 1
 
-LOG = (
-    "seq bigint, sid bigint, pred bigint, op smallint, val binary, category int, amount bigint, text string, "
-    "embedding array<float>, c float, t_valid bigint, idem_key bigint"
-)
 RULES = "rule_id bigint, agent bigint, action string, effect string, match_kind string, match_value bigint"
-AUDIT = "seq bigint, agent bigint, action string, sid bigint, pred bigint, decision string, tokens bigint"
 
 READ, WRITE, REMOVE = "read", "write", "delete"
 ALLOW, DENY, MASK = "allow", "deny", "mask"

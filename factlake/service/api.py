@@ -40,12 +40,13 @@ def query(store: Store, asked: dict) -> dict:
 
 
 def respond(store: Store, method: str, path: str, body: str) -> tuple[int, dict]:
-    """Status and answer of a request."""
+    """Status and answer of a request; a query string is no part of the path."""
+    path = path.partition("?")[0]
     try:
         if (method, path) == ("GET", "/health"):
-            return 200, {"status": "ok"}
+            return (200 if store.is_healthy() else 500), {"status": "ok" if store.is_healthy() else "failed", "indexed": store.indexed()}
         if (method, path) == ("GET", "/stats"):
-            return 200, {"indexed": store.indexed()}
+            return 200, {"indexed": store.indexed(), "dim": store.dim}
         if (method, path) == ("POST", "/grains"):
             return 200, load(store, body)
         if (method, path) == ("POST", "/query"):
@@ -79,7 +80,34 @@ def serve(store: Store, port: int | None = None) -> ThreadingHTTPServer:
     return ThreadingHTTPServer(("127.0.0.1", int(os.environ.get("FACTLAKE_PORT", PORT)) if port is None else port), Handler)
 
 
-TOOLS = {"grain_load": "Load text facts (JSON)", "grain_query": "Find facts near a text", "grain_stats": "Count indexed facts"}
+def arguments(required: list[str], **kinds: str | dict) -> dict:
+    """JSON schema of a tool's arguments."""
+    described = {n: {"type": k} if isinstance(k, str) else k for n, k in kinds.items()}
+    return {"type": "object", "properties": described} | ({"required": required} if required else {})
+
+
+FACT = arguments(["sid", "text"], sid="integer", text="string", category="integer", amount="integer")
+
+#: Tool -> what it does, its arguments.
+TOOLS = {
+    "grain_load": ("Load text facts; a sid that is there already stays as it is", arguments(["grains"], grains={"type": "array", "items": FACT})),
+    "grain_query": (
+        "Find the facts nearest to a text, of a category and between amounts if given",
+        arguments(["text"], text="string", category="integer", min_amount="integer", max_amount="integer", k="integer"),
+    ),
+    "grain_stats": ("Count the facts that a query can find", arguments([])),
+}
+
+
+def use(store: Store, tool: str, given: dict) -> dict:
+    """A tool's result; one that can't be had is told as such, not as an error of the protocol."""
+    try:
+        if tool == "grain_load" and not isinstance(given.get("grains"), list):
+            raise ValueError("'grains' must be an array")
+        done = load(store, json.dumps(given)) if tool == "grain_load" else query(store, given) if tool == "grain_query" else {"indexed": store.indexed()}
+    except Exception as error:
+        return {"content": [{"type": "text", "text": str(error)[:500]}], "isError": True}
+    return {"content": [{"type": "text", "text": json.dumps(done)}]}
 
 
 def rpc(store: Store, line: str) -> dict | None:
@@ -98,12 +126,9 @@ def rpc(store: Store, line: str) -> dict | None:
         elif method == "ping":
             result = {}
         elif method == "tools/list":
-            result = {"tools": [{"name": n, "description": d, "inputSchema": {"type": "object"}} for n, d in TOOLS.items()]}
+            result = {"tools": [{"name": n, "description": d, "inputSchema": a} for n, (d, a) in TOOLS.items()]}
         elif method == "tools/call" and params.get("name") in TOOLS:
-            given = params.get("arguments") or {}
-            name = params["name"]
-            done = load(store, json.dumps(given)) if name == "grain_load" else query(store, given) if name == "grain_query" else {"indexed": store.indexed()}
-            result = {"content": [{"type": "text", "text": json.dumps(done)}]}
+            result = use(store, params["name"], params.get("arguments") or {})
         else:
             return answer | {"error": {"code": -32601, "message": "method not found"}}
     except (ValueError, KeyError, TypeError) as error:
@@ -121,7 +146,7 @@ def table(found: list[dict]) -> str:
 
 def main(args: list[str] | None = None) -> int:
     """The command line: serve and rpc run the store; stats, health, load FILE, query TEXT and repl
-    ask a running server."""
+    ask a running server. FACTLAKE_PATH, FACTLAKE_DIM and FACTLAKE_PORT stand for flags not given."""
     parser = argparse.ArgumentParser(prog="factlake")
     parser.add_argument("--server", default=f"http://127.0.0.1:{PORT}")
     sub = parser.add_subparsers(dest="command", required=True)
@@ -135,11 +160,13 @@ def main(args: list[str] | None = None) -> int:
     asked.add_argument("-k", type=int, default=K)
     for name in ("serve", "rpc"):
         own = sub.add_parser(name)
-        own.add_argument("--path", required=True)
-        own.add_argument("--dim", type=int, default=DIM)
+        own.add_argument("--path", default=os.environ.get("FACTLAKE_PATH"))
+        own.add_argument("--dim", type=int, default=int(os.environ.get("FACTLAKE_DIM", DIM)))
         own.add_argument("--port", type=int)
     given = parser.parse_args(args)
     if given.command in ("serve", "rpc"):
+        if not given.path:
+            parser.error("--path or FACTLAKE_PATH must say where the store is")
         store = Store(SparkSession.builder.appName("factlake").getOrCreate(), given.path, given.dim)
         if given.command == "serve":
             serve(store, given.port).serve_forever()

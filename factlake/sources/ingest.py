@@ -44,6 +44,8 @@ def from_body(spark: SparkSession, body: str) -> DataFrame:
     except ValueError:
         data = [json.loads(line) for line in body.splitlines() if line.strip()]
     items = data if isinstance(data, list) else data["grains"] if isinstance(data, dict) and "grains" in data else [data]
+    if not items:
+        raise ValueError("no facts given")
     for item in items:
         sid = item.get("sid") if isinstance(item, dict) else None
         if not isinstance(sid, int) or isinstance(sid, bool) or not 0 <= sid < 2**63 or not isinstance(item.get("text"), str):

@@ -2,25 +2,39 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when it was counted and has at most this many rows.
 BROADCAST_ROWS = 50_000
 
 
+def sized_join(left: DataFrame, right: DataFrame, on, rows: int, how: str = "inner") -> DataFrame:
+    """Join ``right`` of ``rows`` counted rows: broadcast within BROADCAST_ROWS, shuffled beyond."""
+    return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on, how)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where that is unset (local runs and tests) a
-    temporary folder is set."""
+    """The session's ``spark.checkpoint.dir``. Where that is unset, a local session gets a temporary
+    folder, and on a cluster, whose machines don't share one, it is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factlake-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="factlake-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,42 +17,96 @@ from ..storage import shared_path
 #: What the feed carries of a write.
 FEED = ("sid", "pred", "seq", "op", "val")
 
+#: Parts of a materialised state, by key; a batch rewrites the parts that it has keys of.
+BUCKETS = 64
+
 
 def feed(log: DataFrame) -> DataFrame:
     """Changes of a log, batch or stream: key, sequence, kind and value, no confidence or times."""
     return log.select(*FEED)
 
 
-def follow(log: DataFrame, into: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Runs ``into(batch, batch_id)`` over all changes there are, then stops. Each call with the
-    same checkpoint goes on where the last one ended; several followers are independent."""
-    return log.writeStream.foreachBatch(into).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def subscribe(log: FactLog, into: Callable[[DataFrame], None], checkpoint: str, from_now: bool = False) -> StreamingQuery:
+    """Runs ``into(changes)`` over the committed rows that this checkpoint has not seen, then stops.
+    With ``from_now`` the first call sees nothing and marks where later ones begin."""
+    return log.follow(lambda records, _: into(feed(log.rows_of(records))), checkpoint, from_now)
+
+
+def follow(rows: DataFrame, into: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Runs ``into(batch, batch_id)`` over all rows there are of a stream, then stops."""
+    return rows.writeStream.foreachBatch(into).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 class Materializer:
-    """Keeps the newest version of each (sid, pred) of a log in Parquet, batch by batch.
+    """Keeps the newest version of each (sid, pred) of a log in Parquet, commit by commit.
 
-    Versions are merged by sequence, whatever their order of arrival, and a new generation of the
-    state is written and then named current, so a lost batch is simply done again.
+    The state is cut into buckets by key. A batch of commits is merged, by sequence, into the buckets
+    it has keys of; these are written anew, then one file, replaced in one step, names the folder of
+    each bucket and the last commit applied, and then the old folders go. So a batch that was lost
+    half way is done again, one that was applied is skipped, and a restart goes on at ``path``.
     """
 
-    def __init__(self, log: FactLog, dim: int):
-        self.log, self.dim, self.spark = log, dim, log.spark
-        self.checkpoint = shared_path(self.spark, "materializer")
-        self.path: str | None = None
+    def __init__(self, log: FactLog, dim: int, path: str | None = None, buckets: int = BUCKETS):
+        self.log, self.dim, self.spark, self.buckets = log, dim, log.spark, buckets
+        self.path = path or shared_path(self.spark, "materializer")
+        self.running: StreamingQuery | None = None
+        log.files.make(self.path)
 
-    def state(self) -> DataFrame:
-        return self.spark.read.parquet(self.path) if self.path else self.spark.createDataFrame([], self.log.schema)
+    def pointer(self) -> dict:
+        text = self.log.files.read(f"{self.path}/current.json")
+        return json.loads(text) if text else {"version": -1, "high": 0, "folders": {}}
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        places = [f"{self.path}/{f}" for f in folders]
+        return self.spark.read.schema(self.log.schema).parquet(*places) if places else self.spark.createDataFrame([], self.log.schema)
 
-    def merge(self, batch: DataFrame, batch_id: int) -> None:
-        path = shared_path(self.spark, f"psi-{batch_id}")
-        mvcc.newest(self.state().unionByName(batch.drop("batch_id"))).write.parquet(path)
-        self.path = path
+    def state(self) -> DataFrame:
+        return self._read(list(self.pointer()["folders"].values()))
+
+    def merge(self, records: DataFrame, batch_id: int = 0) -> None:
+        """Applies the commits in ``records``."""
+        was = self.pointer()
+        last = records.agg(F.max("version").alias("version"), F.max("high").alias("high")).first()
+        if last["version"] is None or last["version"] <= was["version"]:
+            return
+        bucket = F.pmod(F.xxhash64("sid", "pred"), F.lit(self.buckets)).alias("bucket")
+        rows = mvcc.newest(self.log.rows_of(records.where(F.col("version") > was["version"])).drop("batch_id"))
+        touched = [str(r["bucket"]) for r in rows.select(bucket).distinct().collect()]  # ``buckets`` at most
+        merged = mvcc.newest(self._read([was["folders"][b] for b in touched if b in was["folders"]]).unionByName(rows))
+        made = f"upto={last['version']}"
+        merged.select("*", bucket).repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/{made}")
+        folders = was["folders"] | {b: f"{made}/bucket={b}" for b in touched}
+        self.log.files.write(f"{self.path}/current.json", json.dumps({"version": last["version"], "high": last["high"], "folders": folders}), replace=True)
+        for b in touched:
+            if b in was["folders"]:
+                self.log.files.delete(f"{self.path}/{was['folders'][b]}")
+
+    def watermark(self) -> int:
+        """The last sequence that the state has, with all before it: commits are applied in order
+        and their sequences leave no gap."""
+        return self.pointer()["high"]
 
     def sync(self) -> int:
-        """Applies all that is in the log; returns the contiguous watermark."""
-        follow(self.log.stream(), self.merge, self.checkpoint).awaitTermination()
-        return mvcc.contiguous_watermark(self.log.read()).first()["watermark"]
+        """Applies all that is in the log; returns the watermark."""
+        self.running = self.log.follow(self.merge, f"{self.path}/checkpoint")
+        self.running.awaitTermination()
+        return self.watermark()
+
+    def wait_for(self, seq: int, timeout: float) -> bool:
+        """Whether the state reached a sequence within so many seconds."""
+        until = time.monotonic() + timeout
+        while self.watermark() < seq:
+            if time.monotonic() > until:
+                return False
+            if self.log.newest()["high"] > self.watermark():
+                self.sync()
+            else:
+                time.sleep(0.05)
+        return True
+
+    def is_healthy(self) -> bool:
+        """Whether the last run ended without failure, or none has been."""
+        return self.running is None or self.running.exception() is None
 
     def psi(self) -> DataFrame:
         state = self.state()
@@ -64,8 +120,9 @@ class Materializer:
 
 
 def group_commit(log: FactLog, writes: DataFrame, checkpoint: str) -> StreamingQuery:
-    """Commits a stream of writes, a micro-batch as one group, once each whatever is repeated."""
-    return follow(writes, lambda batch, batch_id: log.commit(batch, batch_id) and None, checkpoint)
+    """Commits a stream of writes, a micro-batch as one group, once each whatever is repeated. The
+    tag of a micro-batch names the checkpoint, so streams and other writers don't meet."""
+    return follow(writes, lambda batch, batch_id: log.commit(batch, f"{checkpoint}#{batch_id}") and None, checkpoint)
 
 
 def numbered_stream(spark: SparkSession, writes: DataFrame, out: str, checkpoint: str) -> StreamingQuery:

@@ -1,6 +1,7 @@
 """Search, planner, staging, governance, blocks, codecs and services."""
 
 import json
+import re
 import threading
 from urllib.error import HTTPError
 from urllib.request import Request, urlopen
@@ -9,11 +10,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from factlake.errors import Corrupt, Denied
 from factlake.functions import codecs, embed, hashing
 from factlake.functions.distance import l2_sq
-from factlake.operators import ann, blocks, disclosure, governance, knn, near
-from factlake.plans import planner
-from factlake.plans.engine import Engine, Governed
+from factlake.operators import ann, blocks, disclosure, governance, graph, knn, near
+from factlake.plans import indexes, planner
+from factlake.plans.engine import Config, Engine, Governed
 from factlake.plans.store import Store
 from factlake.service import api
 from factlake.sources import views
@@ -239,7 +241,12 @@ def test_engine_and_governed_engine(spark, tmp_path):
     cost = 2 * ((1 + 4 * DIM) // 4 + 8)
     assert len(governed.query_planned(1, 0, q, 2, 0.9)) == 2 and governed.remaining[1] == 200 - cost
     assert governed.query_planned(1, 0, q, 20, 0.9) is None and governed.remaining[1] == 200 - cost
-    assert governed.trail[-1][5] == "deny" and governed.trail[-1][6] == 10 * cost
+    last = governed.trail().orderBy(F.col("seq").desc()).first()
+    assert last["decision"] == "deny" and last["tokens"] == 10 * cost and last["seq"] == governed.trail().count() - 1
+    again = Governed(engine, rules, 200, governed.path)  # after a restart
+    assert again.remaining == governed.remaining and again.trail().count() == governed.trail().count()
+    with pytest.raises(Denied):
+        governed.must_put(1, more.withColumn("category", F.lit(1)))
     assert governed.query_staged(1, 0, q, 20, 0.9, 3) is None
     mine, _, own = governed.query_staged(1, 0, q, 1, 0.9, 3)
     assert mine.first()["n"] == 1 and sids(engine.drill(own)) == sids(engine.query(0, q, 1))
@@ -263,14 +270,14 @@ def test_store_and_services(spark, tmp_path):
         with urlopen(Request(base + path, data=body.encode() if body is not None else None)) as got:
             return json.loads(got.read())
 
-    assert call("/health") == {"status": "ok"} and call("/stats") == {"indexed": 0}
+    assert call("/health") == {"status": "ok", "indexed": 0} and call("/stats?x=1") == {"indexed": 0, "dim": store.dim}
     items = [{"sid": i, "text": t, "category": i % 2, "amount": i * 10} for i, t in enumerate(["red apple pie", "green apple tart", "steel bridge", ""])]
     assert call("/grains", json.dumps(items)) == {"loaded": 4, "new": 4, "indexed": 3}
     assert call("/grains", json.dumps(items)) == {"loaded": 4, "new": 0, "indexed": 3}
     found = call("/query", json.dumps({"text": "apple pie", "k": 2}))["matches"]
     assert found[0]["sid"] == 0 and len(found) == 2
     assert [m["sid"] for m in call("/query", json.dumps({"text": "apple", "category": 1, "min_amount": 5}))["matches"]] == [1]
-    for path, body, status in (("/query", "{}", 400), ("/grains", "[{}]", 400), ("/nothing", None, 404)):
+    for path, body, status in (("/query", "{}", 400), ("/query", "", 400), ("/grains", "[{}]", 400), ("/grains", "[]", 400), ("/grains", "", 400), ("/nothing", None, 404)):
         with pytest.raises(HTTPError) as error:
             call(path, body)
         assert error.value.code == status
@@ -279,6 +286,10 @@ def test_store_and_services(spark, tmp_path):
     server.server_close()
     listed = api.rpc(store, '{"jsonrpc": "2.0", "id": 1, "method": "tools/list"}')
     assert {t["name"] for t in listed["result"]["tools"]} == set(api.TOOLS)
+    assert all(t["inputSchema"]["type"] == "object" for t in listed["result"]["tools"]) and listed["result"]["tools"][0]["inputSchema"]["required"] == ["grains"]
+    for arguments in ({}, {"grains": [{"sid": 1}]}):
+        bad = api.rpc(store, json.dumps({"id": 9, "method": "tools/call", "params": {"name": "grain_load", "arguments": arguments}}))
+        assert bad["result"]["isError"]
     asked = {"jsonrpc": "2.0", "id": 2, "method": "tools/call", "params": {"name": "grain_query", "arguments": {"text": "bridge", "k": 1}}}
     assert json.loads(api.rpc(store, json.dumps(asked))["result"]["content"][0]["text"])["matches"][0]["sid"] == 2
     assert api.rpc(store, '{"method": "initialized"}') is None and "error" in api.rpc(store, '{"id": 3, "method": "x"}')
@@ -286,6 +297,101 @@ def test_store_and_services(spark, tmp_path):
     assert store.query("blue sky", 1).first()["text"] == "blue sky"
 
 
+@pytest.mark.parametrize("kind", ["exact", "blocks", "inverted", "graph"])
+def test_engines_with_an_index(spark, tmp_path, kind):
+    """The default engine, and ones with an index: recall as planned, deletes and updates seen after a sync."""
+    df, data, cats = vectors(spark, 400, dim=12)
+    path = str(tmp_path / "index")
+    index = {"exact": indexes.Exact, "blocks": indexes.Blocks, "inverted": indexes.Inverted, "graph": indexes.Graph}[kind](spark, path=path)
+    if kind in ("blocks", "inverted"):
+        index.cells = 8
+    if kind == "graph":
+        index.shard_rows = 150
+    engine = Engine.open_with(spark, str(tmp_path / "e"), Config(12), index)
+    engine.put_vectors(facts(df))
+    assert engine.sync(400, 60) and engine.index_len() == index.size() == 400 and not engine.sync(401, 0.1)
+    hits = total = 0
+    for i in (3, 90, 200, 333):
+        q, category = data[i].tolist(), int(cats[i])
+        rows, _ = engine.query_planned(0, q, 8, 0.95, category)
+        want = brute(data, q, 8, cats == category)
+        hits, total = hits + len(set(sids(rows)) & set(want)), total + 8
+    assert hits / total >= {"exact": 1.0, "blocks": 1.0, "inverted": 0.9, "graph": 0.9}[kind]
+    q = data[3].tolist()
+    engine.delete(spark.createDataFrame([(9001, 3, 0, 9001)], "arrival bigint, sid bigint, pred bigint, idem_key bigint"))
+    assert 3 not in sids(engine.query(0, q, 5, over_fetch=4))  # the facts say so, whatever the index has
+    assert engine.rebuild() == 399 and sids(engine.query(0, q, 5, over_fetch=40, ef=256)) == brute(data, q, 6)[1:]
+    assert engine.is_healthy()
+
+
+def test_raw_values_and_an_embedder(spark, tmp_path):
+    engine = Engine.open_with(spark, str(tmp_path / "e"), Config(2, header=1))
+    values = [b"\x07" + np.array(v, "<f4").tobytes() for v in ([0.0, 1.0], [3.0, 4.0])] + [b"short"]
+    rows = spark.createDataFrame([(i, i, 0, v, i) for i, v in enumerate(values)], "arrival bigint, sid bigint, pred bigint, value binary, idem_key bigint")
+    engine.put_raw(rows)
+    assert engine.index_len() == 2 and sids(engine.query(0, [3.0, 4.0], 5)) == [1, 0] and engine.current().count() == 3
+    assert engine.query_planned(0, [0.0, 0.0], 1, 0.9, category=7)[1].est_selectivity == 1e-4  # raw facts count in no category
+    length = Engine.open_with(spark, str(tmp_path / "f"), Config(1), embedder=lambda value: F.array(F.octet_length(value).cast("float")))
+    length.put_raw(rows)
+    assert sids(length.query(0, [5.0], 3)) == [2, 0, 1]
+
+
+def test_blocks_on_disk_are_pruned(spark, tmp_path):
+    grains = views.grains_clustered(spark, 2000, 20, 8)
+    rows = blocks.assign_kmeans(grains, 16)
+    blocks.write(rows, str(tmp_path / "b"))
+    stored = blocks.Stored(spark, str(tmp_path / "b"))
+    data = np.array([r["embedding"] for r in grains.orderBy("sid").collect()])
+    for i in (0, 900):
+        found, stats = stored.near(data[i].tolist(), 10)
+        assert sids(found) == brute(data, data[i].tolist(), 10) and stats.touched < stats.total
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"PartitionFilters: \[[^]]*block_id", plan)
+    found, stats = stored.get(42)
+    assert sids(found) == [42] and stats.touched < stats.total
+    assert stored.count_category(2).first()["n"] == 500 and stored.rows().count() == 2000
+    blocks.write(rows.limit(0), str(tmp_path / "none"))
+    assert blocks.Stored(spark, str(tmp_path / "none")).rows().count() == 0
+
+
+def test_graphs_of_shards(spark):
+    r = np.random.default_rng(3)
+    data = r.normal(size=(2000, 32))
+    one = graph.Graph.load(graph.Graph(np.arange(2000), data).dump())
+    hits = 0
+    for q in r.normal(size=(40, 32)):
+        want = np.argsort(((data - q) ** 2).sum(1))[:10]
+        found = one.search(q, 10, 64)
+        assert [d for _, d in found] == sorted(d for _, d in found)
+        hits += len({s for s, _ in found} & set(want.tolist()))
+    assert hits / 400 >= 0.9
+    assert all((x >= 0).sum(1).max() <= (16 if i else 32) for i, (_, x) in enumerate(one.layers))
+    assert graph.Graph(np.array([5]), data[:1]).search(data[0], 3, 8)[0][0] == 5
+    assert graph.Graph(np.empty(0, np.int64), data[:0]).search(data[0], 3, 8) == []
+    levels = graph.drawn_levels(20_000)
+    assert abs((levels >= 1).mean() - 1 / 16) < 0.01 and levels.tolist() == graph.drawn_levels(20_000).tolist()
+
+
+def test_nearest_rank_percentile(spark):
+    df = spark.createDataFrame([(float(x),) for x in (5, 1, 1, 9, 3, 7, 7)] + [(None,)], "x double")
+    ordered = [1, 1, 3, 5, 7, 7, 9]
+    for p in (0, 8, 25, 50, 75, 90, 99, 100):
+        assert knn.percentile(df, "x", p).first()["value"] == ordered[int(p / 100 * 6 + 0.5)]
+    assert knn.percentile(df.limit(0), "x", 50).first()["value"] == 0
+
+
+def test_stored_values(spark):
+    df = spark.createDataFrame([(0, 0.25, -5, b"abc"), (1, 1.0, 2**40, None)], "op int, c float, t_valid bigint, val binary")
+    packed = df.select(codecs.encode_value(F.col("op"), F.col("c"), F.col("t_valid"), F.col("val")).alias("v")).collect()
+    assert codecs.value_parts(bytes(packed[1]["v"])) == (1, 1.0, 2**40, b"")
+    back = spark.createDataFrame(packed, "v binary").select(codecs.decode_value(F.col("v")).alias("x")).select("x.*").collect()
+    assert [tuple(r) for r in back] == [(0, 0.25, -5, bytearray(b"abc")), (1, 1.0, 2**40, bytearray())]
+    with pytest.raises(Corrupt):
+        codecs.value_parts(b"short")
+    with pytest.raises(Exception, match="corrupt value: 5 bytes"):
+        spark.createDataFrame([(b"short",)], "v binary").select(codecs.decode_value(F.col("v"))).collect()
+
+
 def test_more_queries_than_go_at_once(spark, monkeypatch):
     """Query sets beyond the bound, at it and empty give what one block gives."""
     df, _, _ = vectors(spark, 300, dim=8)

@@ -1,6 +1,7 @@
 """Versions, writes, recovery and the change stream against the model."""
 
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -9,8 +10,10 @@ from hypothesis import strategies as st
 from model import Model
 from pyspark.sql import functions as F
 
+from factlake.errors import Closed
 from factlake.operators import idempotency, mvcc, sequence
 from factlake.sources import frames, ingest
+from factlake.sources import log as log_module
 from factlake.sources.log import FactLog
 from factlake.streaming import changes
 
@@ -74,7 +77,7 @@ def test_a_batch_without_record_does_not_exist(spark, tmp_path):
     ops = random_ops(2)
     log = FactLog(spark, str(tmp_path / "log"), ROWS)
     log.commit(arrivals(spark, ops[:40]), 0)
-    log.stage(arrivals(spark, ops[40:]), 1)
+    log.stage(arrivals(spark, ops[40:]))
     assert contents(log) == sorted(run(ops[:40]).log)
     again = FactLog(spark, str(tmp_path / "log"), ROWS)  # after a restart
     again.commit(arrivals(spark, ops[40:], 40), 1)
@@ -82,6 +85,74 @@ def test_a_batch_without_record_does_not_exist(spark, tmp_path):
     assert {r["idem_key"]: r["seq"] for r in idempotency.replayed(again.read()).collect()} == run(ops).seen
 
 
+def test_twelve_writers_at_once(spark, tmp_path):
+    """Every key once, sequences dense, each writer's rows in its order, and what is sent again counts once."""
+    logs = [FactLog(spark, str(tmp_path / "log"), ROWS) for _ in range(3)]
+    batches = [arrivals(spark, [(w, i, 0, f"w{w}", 5 * w + i) for i in range(6)], 100 - w) for w in range(12)]  # a key shared with the next
+    with ThreadPoolExecutor(12) as pool:
+        versions = list(pool.map(lambda w: logs[w % 3].commit(batches[w], f"writer {w}"), range(12)))
+    rows = logs[0].read().collect()
+    assert sorted(r["seq"] for r in rows) == list(range(1, 62)) and {r["idem_key"] for r in rows} == set(range(61)) and len(rows) == 61
+    for w in range(12):
+        assert [r["pred"] for r in sorted(rows, key=lambda r: r["seq"]) if r["sid"] == w] == sorted(r["pred"] for r in rows if r["sid"] == w)
+    records = logs[1].commits().orderBy("version").collect()
+    assert [r["version"] for r in records] == list(range(len(records))) and set(versions) == set(range(len(records)))
+    assert sorted(t for r in records for t in r["tags"]) == sorted(f"writer {w}" for w in range(12))
+    assert [logs[0].commit(batches[w], f"writer {w}") for w in range(12)] == versions and logs[2].read().count() == 61
+
+
+def test_a_version_is_given_once(spark, tmp_path):
+    """Two processes: each stages a batch, the second finds the version taken and numbers anew."""
+    one, two = (FactLog(spark, str(tmp_path / "log"), ROWS) for _ in range(2))
+    two.committer = log_module.Committer()  # as in another process
+    staged = one.stage(arrivals(spark, [(1, 0, 0, "a", 1)]))
+    assert two.commit(arrivals(spark, [(2, 0, 0, "b", 2)])) == 0
+    assert not one.record(staged, 0)
+    assert one.commit(arrivals(spark, [(1, 0, 0, "a", 1), (2, 0, 0, "c", 2)])) == 1
+    assert contents(one) == [(1, 2, 0, 0, "b", 2), (2, 1, 0, 0, "a", 1)]
+
+
+def test_a_failing_writer_fails_alone(spark, tmp_path):
+    log = FactLog(spark, str(tmp_path / "log"), ROWS)
+    good = arrivals(spark, [(1, 0, 0, "a", 1)])
+    bad = good.withColumn("val", F.raise_error(F.lit("broken")))
+    group = [log_module.Pending(good, None), log_module.Pending(bad, None), log_module.Pending(good.withColumn("idem_key", F.lit(7).cast("long")), None)]
+    log._commit_group(group)
+    assert [p.error is None for p in group] == [True, False, True] and {r["idem_key"] for r in log.read().collect()} == {1, 7}
+    log.close()
+    assert not log.is_healthy()
+    with pytest.raises(Closed):
+        log.commit(good)
+    assert FactLog(spark, log.path, ROWS).commit(good) == 2
+
+
+def test_subscribers_see_recorded_rows_only(spark, tmp_path):
+    log = FactLog(spark, str(tmp_path / "log"), ROWS)
+    log.commit(arrivals(spark, [(1, 0, 0, "a", 1)]))
+    seen = {"all": [], "now": []}
+
+    def sync():
+        for name in seen:
+            changes.subscribe(log, lambda rows, name=name: seen[name].extend(r["seq"] for r in rows.collect()), str(tmp_path / name), from_now=name == "now").awaitTermination()
+
+    sync()
+    assert seen == {"all": [1], "now": []}
+    log.stage(arrivals(spark, [(5, 0, 0, "lost", 5), (6, 0, 0, "lost", 6)]))
+    log.commit(arrivals(spark, [(2, 0, 0, "b", 2), (3, 0, 1, None, 3)]))
+    sync()
+    sync()
+    assert seen == {"all": [1, 2, 3], "now": [2, 3]}
+
+
+def test_keys_far_from_a_batch_are_not_read(spark, tmp_path):
+    log = FactLog(spark, str(tmp_path / "log"), ROWS)
+    for b in range(3):
+        log.commit(arrivals(spark, [(i, 0, 0, "a", 100 * b + i) for i in range(10)]))
+    log.files.delete(f"{log.path}/rows/batch_id={log.commits().where('version = 0').first()['batch_id']}")
+    log.commit(arrivals(spark, [(i, 0, 0, "b", 205 + i) for i in range(10)]))
+    assert log.newest()["n"] == 5 and log.newest()["low"] == 31
+
+
 def test_empty_batches(spark, tmp_path):
     log = FactLog(spark, str(tmp_path / "log"), ROWS)
     log.commit(arrivals(spark, random_ops(3)).limit(0))
@@ -160,14 +231,22 @@ def test_forms_of_json(spark, tmp_path):
 
 def test_a_stream_keeps_state_in_step(spark, tmp_path):
     schema = "seq bigint, sid bigint, pred bigint, op smallint, embedding array<float>, idem_key bigint"
-    log = FactLog(spark, str(tmp_path / "log"), schema)
-    state = changes.Materializer(log, 2)
+    log, path = FactLog(spark, str(tmp_path / "log"), schema), str(tmp_path / "state")
     r = np.random.default_rng(0)
-    for b in range(3):
+    for b in range(4):
+        state = changes.Materializer(log, 2, path, buckets=4)  # each time after a restart
         rows = [(b * 20 + i, int(r.integers(8)), 0, int(r.random() < 0.3), [1.0, 2.0] if r.random() < 0.8 else [1.0], b * 20 + i) for i in range(20)]
-        log.commit(spark.createDataFrame(rows, "arrival bigint, sid bigint, pred bigint, op smallint, embedding array<float>, idem_key bigint"), b)
-        assert state.sync() == (b + 1) * 20
+        batch = spark.createDataFrame(rows, "arrival bigint, sid bigint, pred bigint, op smallint, embedding array<float>, idem_key bigint")
+        log.stage(batch)  # a writer that is lost
+        log.commit(batch)
+        if b == 1:
+            assert state.wait_for((b + 1) * 20, 60) and not state.wait_for(10**6, 0.2)
+        assert state.sync() == (b + 1) * 20 and state.is_healthy()
         assert state.in_step()
+        state.merge(log.commits())  # a batch that is given again
+        assert state.in_step() and state.watermark() == (b + 1) * 20
+    folders = set(state.pointer()["folders"].values())
+    assert {f"{p.parent.name}/{p.name}" for p in (tmp_path / "state").glob("upto=*/bucket=*")} == folders and len(folders) <= 4
 
 
 def test_group_commit_of_a_stream(spark, tmp_path):
