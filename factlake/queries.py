@@ -812,15 +812,16 @@ def shard_route(spark, sf_dir):
 
 
 #: Numbers of each text's embedding in SQL: hashes of its byte n-grams, added up by place with their sign.
-_EMBED = """bytes AS (SELECT id, list_transform(range(1, octet_length(encode(text)) + 1), lambda i: ('0x' || substr(hex(encode(text)), 2 * i - 1, 2))::UTINYINT::UHUGEINT) AS b FROM texts WHERE length(text) > 0),
-grams AS (
-  SELECT id, (xor(14695981039346656037::UHUGEINT, x) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT AS h1, y, z
-  FROM (SELECT id, unnest(b) AS x, unnest(list_concat(b[2:], [NULL])) AS y, unnest(list_concat(b[3:], [NULL, NULL])[:len(b)]) AS z FROM bytes)
-), wider AS (SELECT *, (xor(h1, y) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT AS h2 FROM grams),
-hashes AS (
-  SELECT id, h1 AS h FROM wider UNION ALL SELECT id, h2 FROM wider WHERE y IS NOT NULL
-  UNION ALL SELECT id, (xor(h2, z) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT FROM wider WHERE z IS NOT NULL
-), places AS (SELECT id, (h % 64)::INT AS pos, sum(CASE WHEN h >= 9223372036854775808::UHUGEINT THEN -1 ELSE 1 END)::DOUBLE AS x FROM hashes GROUP BY ALL),
+_EMBED = """bytes AS (SELECT id, regexp_extract_all(hex(encode(text)), '..') AS b FROM texts WHERE length(text) > 0),
+runs AS (SELECT id, unnest(b) AS x, unnest(list_concat(b[2:], [NULL])) AS y, unnest(list_concat(b[3:], [NULL, NULL])[:len(b)]) AS z FROM bytes),
+counted AS (
+  SELECT id, x AS gram, count(*) AS n FROM runs GROUP BY ALL UNION ALL SELECT id, x || y, count(*) FROM runs WHERE y IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT id, x || y || z, count(*) FROM runs WHERE z IS NOT NULL GROUP BY ALL
+), grams AS (
+  SELECT gram, list_transform(regexp_extract_all(gram, '..'), lambda c: ('0x' || c)::UTINYINT::UHUGEINT) AS codes FROM (SELECT DISTINCT gram FROM counted)
+), hashes AS (
+  SELECT gram, list_reduce(codes, lambda h, c: (xor(h, c) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT, 14695981039346656037::UHUGEINT) AS h FROM grams
+), places AS (SELECT id, (h % 64)::INT AS pos, sum(CASE WHEN h >= 9223372036854775808::UHUGEINT THEN -n ELSE n END)::DOUBLE AS x FROM counted JOIN hashes USING (gram) GROUP BY ALL),
 norms AS (SELECT id, greatest(sqrt(sum(x * x)), 0.000001) AS norm FROM places GROUP BY id)"""
 
 
