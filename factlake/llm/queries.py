@@ -111,7 +111,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
-    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    labels = read(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("page_id")).agg(F.max(bad).alias("bad"))  # a page counts once
     return url_filter.judge(pages, pages.join(labels, "page_id").select("url", "bad"))
 
 
