@@ -1,4 +1,31 @@
-"""Known licence texts and notices: (license_id, text). Fixed values; a caller may pass other ones."""
+"""Known licence texts and notices: (license_id, text). Fixed values; a caller may pass other ones.
+
+Long texts are in ``license_files``, as their publishers give them, by identifier.
+"""
+
+from __future__ import annotations
+
+from pathlib import Path
+
+FILES = {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "license_files").glob("*.txt"))}
+
+#: Identifiers of the files.
+IDENTIFIERS = {
+    "Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0",
+    "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+}
+
+#: What ends the terms; a text is often given without the instructions that follow.
+END = "END OF TERMS AND CONDITIONS"
+
+
+def published() -> list[tuple[str, str]]:
+    """The files' texts, whole, and up to the end of their terms, with and without that line."""
+    out = []
+    for name, text in FILES.items():
+        terms, end, _ = text.partition(END)
+        out += [(IDENTIFIERS[name], x) for x in ([text, terms + end, terms] if end else [text])]
+    return out
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
 associated documentation files (the "Software"), to deal in the Software without restriction, including
@@ -58,6 +85,9 @@ Unless required by applicable law or agreed to in writing, software distributed
 distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
 See the License for the specific language governing permissions and limitations under the License."""
 
+MPL_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of
+the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
 UNLICENSE = """This is free and unencumbered software released into the public domain.
 
 Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source
@@ -99,7 +129,16 @@ KNOWN = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("GPL-2.0", "Licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("MPL-2.0", MPL_NOTICE),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("ISC", "SPDX-License-Identifier: ISC"),
     ("Unlicense", UNLICENSE),
+    *published(),
 ]
 
 #: Spellings that count as one word, after case and punctuation are gone: (variant, canonical).
@@ -134,8 +173,6 @@ EQUIVALENT = [
     ("optimise", "optimize"),
     ("organisation", "organization"),
     ("organise", "organize"),
-    ("owner", "holder"),
-    ("owners", "holders"),
     ("practise", "practice"),
     ("programme", "program"),
     ("realise", "realize"),
