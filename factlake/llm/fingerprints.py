@@ -30,9 +30,9 @@ WIDTH = BITS // BLOCKS
 
 WORD_WEIGHT, PAIR_WEIGHT = 8, 8
 
-#: Parts of a block table's bucket at most, so that a hot bucket is spread over tasks and rows, and
-#: the fingerprints from which a bucket is parted.
-PARTS, MEMBERS = 64, 256
+#: Fingerprints of one part of a block table's bucket, about: a hot bucket is counted and spread over
+#: as many parts as it needs.
+MEMBERS = 256
 
 #: Stands for a null doc_id in joins; a null id comes last in descending order.
 NULL_ID = -(2**63)
@@ -47,7 +47,7 @@ def terms(text: Column) -> Column:
 def simhash(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     """``keys`` with hi and lo, the fingerprint's halves, one row per combination of keys.
 
-    Texts without terms get fingerprint 0. Keys should tell rows apart, or texts vote together.
+    Texts without terms get fingerprint 0. Texts of equal keys vote together.
     """
     exploded = texts.select(*keys, F.inline_outer(terms(F.col(text))))
     one, two = exploded.columns[-2:]
@@ -102,15 +102,16 @@ def flips(share: int) -> list[int]:
     return [sum(1 << b for b in bits) for k in range(min(share, WIDTH) + 1) for bits in combinations(range(WIDTH), k)]
 
 
-def find_within(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, parts: int = PARTS) -> DataFrame:
+def find_within(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, members: int = MEMBERS) -> DataFrame:
     """(hi, lo, n, found): for each distinct query fingerprint how many documents are within the
     radius, and the fingerprints they have, an array of (distance, hi, lo, n) in this order.
 
     ``queries`` has (hi, lo) and ``prints`` (hi, lo, n), each fingerprint once, n its documents. A
-    table's bucket is kept as up to ``parts`` arrays, and a query is held against an array in
-    place, so a hot bucket gives ``parts`` rows for each query, not one for each pair. A pair that
-    several tables find is taken from the first. Documents of a fingerprint are the caller's to keep. Any radius from 0 is exact; probes per query grow
-    with it (4 for 3, 496 for 18, 5,576 for 31).
+    table's bucket is kept as arrays of about ``members``, and a query is held against an array in
+    place, so a hot bucket gives a row for each query and array, not one for each pair. A pair that
+    several tables find is taken from the first. Documents of a fingerprint are the caller's to
+    keep. Any radius from 0 is exact; probes per query grow with it (4 for 3, 496 for 18, 5,576 for
+    31). Without queries or fingerprints nothing is found.
     """
     tables = [(i, share) for i, share in enumerate(shares(radius)) if share >= 0]
 
@@ -118,9 +119,9 @@ def find_within(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, par
         return block(F.col("hi"), F.col("lo"), i) + F.lit(i << WIDTH)
 
     each = prints.select("hi", "lo", "n", F.explode(F.array(*[bucket(i) for i, _ in tables])).alias("b"))
-    # at most 2 ** 19 buckets whatever the input, and one in MEMBERS of the entries
-    large = each.groupBy("b").agg(F.count("*").alias("size")).where(F.col("size") > MEMBERS)
-    part = F.pmod(F.xxhash64("hi", "lo"), F.least(F.lit(parts), F.ceil(F.coalesce("size", F.lit(1)) / MEMBERS))).alias("part")
+    # at most 2 ** 19 buckets whatever the input, and one in ``members`` of the entries
+    large = each.groupBy("b").agg(F.count("*").alias("size")).where(F.col("size") > members)
+    part = F.pmod(F.xxhash64("hi", "lo"), F.ceil(F.coalesce("size", F.lit(1)) / members)).alias("part")
     rows = each.join(F.broadcast(large), "b", "left").groupBy("b", part).agg(F.collect_list(F.struct("hi", "lo", "n")).alias("members"))
 
     def probed(i: int, share: int) -> Column:
@@ -182,22 +183,30 @@ def fingerprint_edited(docs: DataFrame) -> DataFrame:
     four longs s0 to s3 and its fingerprint ehi, elo, and next_k.
 
     The edited text has its last third replaced by as much of the next document's beginning. Null
-    texts are empty; a null id counts as the least; of rows that share an id, the one with the
-    least text is the next document of others. Texts are shuffled once by id, and beginnings once.
+    texts are empty; a null id counts as the least, -2 ** 63; of rows that share an id, the one with
+    the least text is the next document of others. A row is known by its id and the XXH64 and
+    length of its text, not by a number that a task would give it, so a task that runs again finds
+    the same; rows equal in these are fingerprinted once and repeated at the end. Texts are
+    shuffled once by id, and beginnings once. An empty table gives no rows, and columns other than
+    the two are not used, whatever their names.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k"), whole("text").alias("text"))
-    light = kept(neighbours(rows.select("k", F.length("text").alias("n_chars"))))
+    rows = rows.withColumn("t", F.xxhash64("text"))
+    copies = kept(rows.groupBy("k", "t", F.length("text").cast("long").alias("n_chars")).agg(F.count("*").alias("copies")))
+    light = kept(neighbours(copies))
     heads = rows.join(light.select("k", "to_k", "need"), "k").select(F.col("to_k").alias("k"), F.substring(F.col("text"), F.lit(1), F.col("need")).alias("head"))
     heads = heads.groupBy("k").agg(F.min("head").alias("head"))
     n = F.length("text")
     took = F.floor(n / 3)
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - took), F.substring(F.col("head"), F.lit(1), took))
-    both = rows.join(heads, "k").select(F.monotonically_increasing_id().alias("row"), "k", "text", edited.alias("edited"))
+    both = rows.join(heads, "k").select("k", "t", "text", edited.alias("edited"))
     sha = F.sha2("edited", 256)
     parts = [F.conv(F.substring(sha, 16 * i + 1, 16), 16, -10).cast("long").alias(f"s{i}") for i in range(4)]
-    both = both.select("row", "k", F.length("text").cast("long").alias("n_chars"), *parts, F.array("text", "edited").alias("texts"))
-    carried = ["row", "k", "n_chars", "s0", "s1", "s2", "s3"]
+    both = both.select("k", "t", F.length("text").cast("long").alias("n_chars"), *parts, F.array("text", "edited").alias("texts"))
+    carried = ["k", "t", "n_chars", "s0", "s1", "s2", "s3"]
     each = both.select(*carried, F.posexplode("texts").alias("which", "text"))
-    prints = simhash(each, [*carried, "which"], "text")
+    prints = simhash(each, [*carried, "which"], "text")  # copies vote alike, so they change nothing
     halves = [F.max(F.when(F.col("which") == w, F.col(c))).alias(name) for w, c, name in ((0, "hi", "hi"), (0, "lo", "lo"), (1, "hi", "ehi"), (1, "lo", "elo"))]
-    return prints.groupBy(*carried).agg(*halves).drop("row").join(light.select("k", "next_k"), "k")
+    single = prints.groupBy(*carried).agg(*halves)
+    again = single.join(copies, ["k", "t", "n_chars"]).withColumn("nr", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return again.drop("nr", "copies", "t").join(light.select("k", "next_k"), "k")
