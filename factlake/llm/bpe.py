@@ -264,7 +264,8 @@ def encode(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256, one row per row.
 
     With ``keep_ids`` also ids (array of int) and decoded (string). Null texts are empty: no ids,
-    and the digests of the empty string. Other columns are not used. The file is read on the
+    and the digests of the empty string. Repeated rows are encoded alike, each in a row of its own;
+    a null doc_id stays null; an empty table gives no rows. Other columns are not used. The file is read on the
     driver and sent to the executors once; its size bounds the broadcast.
     """
     spec = docs.sparkSession.sparkContext.broadcast(load(path))

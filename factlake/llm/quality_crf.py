@@ -220,7 +220,12 @@ def pieces(texts: list[str], size: int = PIECE) -> Iterator[list[str]]:
 
 
 def score(docs: DataFrame, field: Field, column: str = "score") -> DataFrame:
-    """``docs`` with a score of every whole text; null texts count as empty. All columns stay."""
+    """``docs`` with a score of every whole text, 0 to 1, in a new column.
+
+    Null and empty texts have one empty line and get its score; equal texts get equal scores; an empty
+    table stays empty. All columns stay, but one that is called ``column`` (in any case of letters)
+    already is replaced.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
     @F.pandas_udf("double")

@@ -153,7 +153,12 @@ def classes(marked: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
 
 
 def find_near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, text_hash, fp and component_id, one row per row of ``docs`` (doc_id, text)."""
+    """doc_id, text_hash, fp and component_id, one row per row of ``docs`` (doc_id, text).
+
+    Null and blank texts have fingerprint 0 and are linked like others. Repeated rows are repeated
+    in the result. A null doc_id counts in no component_id, so a component without ids has a null
+    one. Columns other than the two are not used; an empty table gives no rows.
+    """
     return classes(kept(fingerprints(docs)), radius, bucket)
 
 

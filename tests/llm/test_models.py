@@ -66,6 +66,23 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(got, want)
 
 
+def test_document_scores_are_weighted_means_of_line_marginals():
+    """Every line by enumeration of all labellings, weighted by its length and 1."""
+    r, rows = random.Random(6), corpus(60, 3)
+    field = quality_crf.fit([t for _, t, _, _ in rows], np.array([q for _, _, q, _ in rows]))
+    texts = ["\n".join(sentence(r, r.random() < 0.5) if r.random() < 0.9 else "" for _ in range(r.randrange(1, 8))) for _ in range(20)] + ["", "\n", "one"]
+    for text, got in zip(texts, field.score(texts), strict=True):
+        lines = text.split("\n")
+        features, length, n_lines = quality_crf.line_features([text])
+        bins = field.bins(features)
+        lean = []
+        for i in range(len(lines)):
+            near = [bins[j] if 0 <= j < len(lines) else [quality_crf.BINS] * bins.shape[1] for j in (i, i - 1, i + 1)]
+            lean.append(field.base + sum(field.weights[f][b] for f, b in enumerate(np.concatenate(near))))
+        weights = np.array([len(x) + 1 for x in lines])
+        assert n_lines.tolist() == [len(lines)] and abs((brute_marginals(np.array(lean), field.ties) * weights).sum() / weights.sum() - got) < 1e-9
+
+
 def test_field_prefers_clean_lines_in_held_out_rows(tables):
     docs, labels, truth = tables
     out = quality_crf.score(docs, quality_crf.learn(docs, labels)).withColumn("held_out", samples.fold(3) == 1).collect()

@@ -1,15 +1,18 @@
 """The operators against brute force, and on rows that break things."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from factlake.llm import chat_format, common, fingerprints, license_scan, mixing, quality_rules, simhash_dedup, url_filter
+from factlake.llm import chat_format, common, fingerprints, license_scan, license_texts, mixing, quality_rules, queries, simhash_dedup, url_filter
 from factlake.llm.license_texts import MIT
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -167,6 +170,32 @@ def test_repeated_and_null_ids(odd, none):
     assert fingerprints.fingerprint_edited(none).count() == 0
 
 
+def plain_simhash(text):
+    """128 votes in plain Python: two hashes of each word and of each pair of neighbours."""
+    w, votes = WORD.findall(text or ""), [0] * 128
+
+    def vote(term, weight):
+        one = xxhash.xxh64_intdigest(term.encode(), 42)
+        two = xxhash.xxh64_intdigest((1).to_bytes(4, "little"), one)  # the hash goes on with an int
+        for i in range(64):
+            votes[i] += weight if one >> i & 1 else -weight
+            votes[64 + i] += weight if two >> i & 1 else -weight
+
+    for i, word in enumerate(w):
+        vote(word, min(len(word), 8))
+        if i + 1 < len(w):
+            vote(f"{word} {w[i + 1]}", 8)
+    bits = [sum(1 << i for i in range(64) if votes[at + i] > 0) for at in (0, 64)]
+    return f"{bits[0]:016x}{bits[1]:016x}"
+
+
+def test_simhash_equals_plain_votes(odd, odd_rows):
+    rows = [r for r in odd_rows if r[0] not in (23, 25, 26)]
+    prints = fingerprints.simhash(odd, ["doc_id"], "text").select("doc_id", fingerprints.text(F.col("hi"), F.col("lo")).alias("f"))
+    got = {r["doc_id"]: r["f"] for r in prints.collect()}
+    assert {d: plain_simhash(t) for d, t, *_ in rows} == {d: f for d, f in got.items() if d not in (23, 25, 26)}
+
+
 def test_block_tables_find_all_within_the_radius(spark):
     r = random.Random(3)
     prints = set()
@@ -176,7 +205,7 @@ def test_block_tables_find_all_within_the_radius(spark):
     signed = lambda x: x - 2**64 if x >> 63 else x
     rows = [(signed(p >> 64), signed(p % 2**64), i % 3 + 1) for i, p in enumerate(sorted(prints))]
     df = spark.createDataFrame(rows, "hi bigint, lo bigint, n bigint")
-    got = {(x["hi"], x["lo"]): x["n"] for x in fingerprints.find_within(df.select("hi", "lo"), df, parts=4).collect()}
+    got = {(x["hi"], x["lo"]): x["n"] for x in fingerprints.find_within(df.select("hi", "lo"), df, members=16).collect()}
     for hi, lo, _ in rows:
         want = sum(n for h, v, n in rows if ((h ^ hi) % 2**64).bit_count() + ((v ^ lo) % 2**64).bit_count() <= 3)
         assert got[hi, lo] == want
@@ -192,8 +221,8 @@ def test_near_copies_of_real_texts_are_found(spark):
         for at in r.sample(range(len(words)), max(1, len(words) // 50)):  # about 5 in 50 shingles change
             edited[at] = r.choice(words)
         rows += [(d, " ".join(words)), (-d - 1, " ".join(edited))]
-    prints = fingerprints.simhash(spark.createDataFrame(rows, "doc_id bigint, text string"), ["doc_id"], "text").localCheckpoint()
-    counted = prints.groupBy("hi", "lo").agg(F.count("*").alias("n")).localCheckpoint()
+    prints = fingerprints.simhash(spark.createDataFrame(rows, "doc_id bigint, text string"), ["doc_id"], "text").cache()
+    counted = prints.groupBy("hi", "lo").agg(F.count("*").alias("n")).cache()
     of = {x["doc_id"]: (x["hi"], x["lo"]) for x in prints.collect()}
     known = [(x["hi"], x["lo"], x["n"]) for x in counted.collect()]
     bits = lambda a, b: sum(((x ^ y) % 2**64).bit_count() for x, y in zip(a, b, strict=True))
@@ -241,25 +270,25 @@ def test_rule_measures_equal_brute_force(spark, odd, odd_rows):
     assert got == sorted((r[0], *brute_measures(r[1])) for r in [*odd_rows, *more] if r[0] is not None)
 
 
-def brute_em(patterns, n_rules, rounds):
-    """The same fit, rule by rule in plain Python."""
-    pi, good, bad = 0.8, [0.9] * n_rules, [0.3] * n_rules
-    q = {}
+def brute_em(patterns, n_rules, rounds, start):
+    """The same fit from one start, rule by rule in plain Python: (likelihood, posteriors)."""
+    pi, good, bad = start[0], [start[1]] * n_rules, [start[2]] * n_rules
+    (good_prior, bad_prior, class_prior), q = (quality_rules.PRIOR_GOOD, quality_rules.PRIOR_BAD, quality_rules.PRIOR_CLASS), {}
     for _ in range(rounds + 1):
-        for v in patterns:
+        likely = 0.0
+        for v, n in patterns.items():
             a, b = pi, 1 - pi
             for r, x in enumerate(v):
                 if x:
                     a *= good[r] if x > 0 else 1 - good[r]
                     b *= bad[r] if x > 0 else 1 - bad[r]
-            q[v] = a / (a + b)
+            q[v], likely = a / (a + b), likely + n * math.log(a + b)
         total = sum(patterns.values())
-        last = (pi, good, bad)
-        pi = (sum(n * q[v] for v, n in patterns.items()) + 16) / (total + 20)
+        pi = (sum(n * q[v] for v, n in patterns.items()) + class_prior[0]) / (total + sum(class_prior))
         rate = lambda r, w, p: (sum(n * w(v) for v, n in patterns.items() if v[r] > 0) + p[0]) / (sum(n * w(v) for v, n in patterns.items() if v[r]) + sum(p))
-        good = [rate(r, lambda v: q[v], (18, 2)) for r in range(n_rules)]
-        bad = [min(rate(r, lambda v: 1 - q[v], (6, 14)), good[r]) for r in range(n_rules)]
-    return q, last
+        good = [rate(r, lambda v: q[v], good_prior) for r in range(n_rules)]
+        bad = [min(rate(r, lambda v: 1 - q[v], bad_prior), good[r]) for r in range(n_rules)]
+    return likely, q
 
 
 def test_expectation_maximisation_equals_plain_python(spark):
@@ -273,10 +302,20 @@ def test_expectation_maximisation_equals_plain_python(spark):
     fitted = quality_rules.fit(df, 4, rounds=10)
     each = fitted.select("model", F.explode("patterns").alias("p"))
     got = {tuple(x["v"]): x["q"] for x in each.select(F.col("p.votes").alias("v"), quality_rules.posterior(F.col("p.votes"), F.col("model"), 4).alias("q")).collect()}
-    want, _ = brute_em(patterns, 4, 10)
+    want = max((brute_em(patterns, 4, 10, start) for start in quality_rules.STARTS), key=lambda x: x[0])[1]
     assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-9 for v in want)
 
 
+@pytest.mark.parametrize("n", [80, 800])
+def test_few_bad_documents_are_told_apart(spark, n):
+    """A table of any size: those that two rules speak against are rejected, the others kept."""
+    patterns = [([1] * 4, n), ([1, 1, -1, -1], n // 12), ([1, 0, 1, 1], n // 10), ([1, 1, 1, -1], n // 40)]
+    fitted = quality_rules.fit(spark.createDataFrame(patterns, "votes array<int>, n bigint"), 4)
+    each = fitted.select("model", F.explode("patterns").alias("p"))
+    got = {tuple(x["v"]): x["q"] for x in each.select(F.col("p.votes").alias("v"), quality_rules.posterior(F.col("p.votes"), F.col("model"), 4).alias("q")).collect()}
+    assert got[1, 1, -1, -1] < 0.5 and got[1, 1, 1, 1] > 0.9 and got[1, 0, 1, 1] > 0.9
+
+
 def test_rule_verdicts(odd, none):
     rows = quality_rules.judge(clashing(odd)).collect()
     assert len(rows) == odd.count()
@@ -307,6 +346,19 @@ def test_licences_in_other_dress(spark, none):
     assert license_scan.scan(none).count() == 0
 
 
+def test_every_known_text_is_found_whole(spark):
+    """Each known text as a document of its own, dressed otherwise, and a very long text beside them."""
+    known = {(i, t) for i, t in license_texts.KNOWN}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "GFDL-1.3"} <= {i for i, t in known if len(t) > 5000}
+    rows = [(n, f"Copyright (c) 2019 X\n{t.upper()}\n\n  ".replace(",", " , ")) for n, (_, t) in enumerate(license_texts.KNOWN)]
+    rows += [(1000, "x " * 200_000), (1001, license_texts.FILES["GPL-3"][:-40])]
+    got = {r["doc_id"]: (r["license_id"], r["line_licenses"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [got[n][0] for n in range(len(license_texts.KNOWN))] == [i for i, _ in license_texts.KNOWN]
+    assert got[1000] == (None, []) and got[1001][0] is None
+    plain = spark.createDataFrame([(0, MIT.replace("COPYRIGHT HOLDERS", "copyright owners")), (1, MIT.replace("HOLDERS", "keepers"))], "doc_id bigint, text string")
+    assert [r["license_id"] for r in license_scan.scan(plain).orderBy("doc_id").collect()] == ["MIT", None]
+
+
 # URL filter
 
 
@@ -359,6 +411,79 @@ def test_a_rare_bad_host_is_mined(spark):
     assert {x["page_id"]: x["verdict"] for x in url_filter.judge(pages, labelled).collect()} == {1: "block", 2: "block", 3: "allow"}
 
 
+def brute_rules(rows, min_count=5, min_confidence=0.6, alpha=0.05):
+    """Token sets that say bad, by going through all subsets of each row's tokens."""
+    rows = [(frozenset(t), bad) for t, bad in rows]
+    where = {}
+    for i, (items, _) in enumerate(rows):
+        for t in items:
+            where.setdefault(t, set()).add(i)
+    where = {t: frozenset(w) for t, w in where.items() if len(w) >= min_count}
+    instead = {}
+    for t, w in sorted(where.items()):
+        instead.setdefault(w, t)
+    merged = [(frozenset(instead[where[t]] for t in items if t in where), bad) for items, bad in rows]
+    seen, bad_seen = Counter(), Counter()
+    for items, bad in merged:
+        for size in range(1, len(items) + 1):
+            for some in itertools.combinations(sorted(items), size):
+                seen[some] += 1
+                bad_seen[some] += bad
+    seen = {s: n for s, n in seen.items() if n >= min_count}
+    base = sum(b for _, b in rows) / len(rows)
+    out = {}
+    for some, n in seen.items():
+        c = bad_seen[some] / n
+        if bad_seen[some] < min_count or c < min_confidence or c <= base:
+            continue
+        surprise = n * (c * math.log(c / base) + ((1 - c) * math.log((1 - c) / (1 - base)) if c < 1 else 0))
+        if surprise >= math.log(len(seen) / alpha):
+            out[some] = c
+    return {s: c for s, c in out.items() if not any(set(t) < set(s) and d >= c for t, d in out.items())}
+
+
+def test_mining_and_matching_equal_brute_force(spark):
+    r, urls = random.Random(12), []
+    for i in range(600):
+        host = f"{r.choice(['news', 'blog', 'shop', 'casino-win'])}.{r.choice(['aa', 'bb'])}.test"
+        urls.append((f"http://{host}/{r.choice(['x', 'y', 'z'])}/{r.choice(['', 'k.html'])}{'?ref=1&q=2' if r.random() < 0.3 else ''}", None))
+    urls = [(u, r.random() < (0.9 if "casino" in u else 0.7 if "ref" in u and "/x/" in u else 0.15)) for u, _ in urls]
+    labelled = spark.createDataFrame(urls, "url string, bad boolean")
+    items = [(x["items"], x["bad"]) for x in labelled.select(url_filter.tokens(F.col("url")).alias("items"), "bad").collect()]
+    want = brute_rules(items)
+    rules = url_filter.mine(labelled).cache()
+    got = {tuple(x["antecedent"]): x["confidence"] for x in rules.collect()}
+    assert len(want) >= 2 and got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-9 for s in want)
+    met = {tuple(x["items"]): x["confidence"] for x in url_filter.match(labelled, rules).collect()}
+    sets = {tuple(t) for t, _ in items}
+    best = {t: max((c for s, c in want.items() if set(s) <= set(t)), default=None) for t in sets}
+    assert met == {t: c for t, c in best.items() if c is not None}
+    index = url_filter.inverted_index(rules, spark.createDataFrame([(list(t),) for t in sets], "items array<string>")).collect()
+    share = Counter(x for t in sets for x in t)
+    assert all(share[x["token"]] == min(share[y] for y in x["antecedent"]) for x in index)
+
+
+def test_chance_makes_no_rule(spark):
+    """Labels that have nothing to do with URLs, and the given small tables."""
+    for seed in range(3):
+        r = random.Random(seed)
+        rows = [(f"http://{r.choice('abcdefgh')}h.{r.choice('ij')}x.test/{r.choice('klm')}p/{r.choice('no')}q", r.random() < 0.3) for _ in range(500)]
+        assert url_filter.mine(spark.createDataFrame(rows, "url string, bad boolean")).count() == 0
+    for size in ("sf0.01", "sf0.1"):
+        out = queries.op8_url_filter(spark, f"/root/testdata/{size}")
+        assert out.where("confidence is not null").count() == 0
+
+
+def test_tokens_that_go_together_and_odd_labels(spark):
+    """Forty tokens that are always together are one; null labels, nulls and repeats are no trouble."""
+    long = "/".join(f"part{c}x" for c in "abcdefghijklmnopqrstuvwxyzabcdefghijklmn")
+    rows = [(f"http://bad.test/{long}", True)] * 12 + [(f"http://good.test/{c}{c}", False) for c in "abcdefgh"] * 4 + [(None, True), (None, None), ("http://bad.test/", None)]
+    labelled = spark.createDataFrame(rows, "url string, bad boolean").withColumn("items", F.lit("extra"))
+    assert [x["antecedent"] for x in url_filter.mine(labelled).collect()] == [["h:bad"]]
+    only = spark.createDataFrame([("http://a.test", True)] * 9, "url string, bad boolean")
+    assert url_filter.mine(only).count() == 0 and url_filter.mine(only.limit(0)).count() == 0
+
+
 # Chat formatting
 
 
