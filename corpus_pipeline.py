@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next stage's docs. Every stage works on all that the one before it kept. All but
-the last return the columns of ``documents``; labels to learn from are read from ``sf_dir``.
+the last return the columns of ``documents``, and others that the table has; labels to learn from are
+read from ``sf_dir``. Empty tables pass through, and repeated rows count as rows of their own until
+near duplicates are dropped.
 """
 
 from __future__ import annotations
@@ -14,22 +16,27 @@ from factlake.llm.common import read, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network doesn't call toxic; null and empty texts are scored like others."""
     return toxicity.drop_toxic(docs, read(spark, sf_dir, "labels"))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the field calls good; null and empty texts are scored like others."""
     return quality_crf.drop_low_quality(docs, read(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the least id; of equal rows one, null ids last."""
     return simhash_dedup.drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's rate says; null sources are one source, texts without words aren't repeated."""
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of token digests per document; null texts are empty."""
     return bpe.encode(docs, bpe.installed())
 
 

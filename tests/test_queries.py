@@ -49,8 +49,27 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def imported(folder, code="import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"):
+    env = {"PATH": "/usr/bin", "PYTHONPATH": str(folder)}
+    done = subprocess.run([sys.executable, "-c", code], cwd=folder, env=env, capture_output=True, text=True, timeout=120)
+    return done.stdout.split(), done.stderr
+
+
 def test_the_rest_holds_without_the_optional_subpackage(tmp_path):
-    shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py"))
-    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
-    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", env={"PATH": "/usr/bin", "PYTHONPATH": str(tmp_path / "repo")}, capture_output=True, text=True, timeout=120)
-    assert done.stdout.split() == [str(len(queries.QUERIES)), str(len(queries.ORACLES))], done.stderr
+    own = [str(len(queries.QUERIES)), str(len(queries.ORACLES))]
+    for gone, warned in ((("llm",), False), (("llm", "corpus_pipeline.py"), False), (("corpus_pipeline.py",), (ROOT / "factlake" / "llm").exists())):
+        folder = tmp_path / "-".join(gone)
+        shutil.copytree(ROOT, folder, ignore=shutil.ignore_patterns(".git", "__pycache__", *gone))
+        counts, said = imported(folder)
+        assert counts == own and ("left out" in said) == warned, said
+
+
+def test_nothing_is_left_out_when_all_is_there(tmp_path):
+    if not (ROOT / "factlake" / "llm").exists():
+        pytest.skip("the optional subpackage was taken out")
+    shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "__pycache__"))
+    counts, said = imported(tmp_path / "repo")
+    assert int(counts[0]) == len(queries.QUERIES) + 11 and "left out" not in said
+    (tmp_path / "repo" / "ahocorasick.py").write_text("raise ImportError('not there')")
+    counts, said = imported(tmp_path / "repo")  # a library that it needs is missing
+    assert int(counts[0]) == len(queries.QUERIES) and "not there" in said
