@@ -191,15 +191,14 @@ def fingerprint_edited(docs: DataFrame) -> DataFrame:
     the two are not used, whatever their names.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k"), whole("text").alias("text"))
-    rows = rows.withColumn("t", F.xxhash64("text"))
-    copies = kept(rows.groupBy("k", "t", F.length("text").cast("long").alias("n_chars")).agg(F.count("*").alias("copies")))
+    copies = kept(rows.groupBy("k", F.xxhash64("text").alias("t"), F.length("text").cast("long").alias("n_chars")).agg(F.count("*").alias("copies")))
     light = kept(neighbours(copies))
     heads = rows.join(light.select("k", "to_k", "need"), "k").select(F.col("to_k").alias("k"), F.substring(F.col("text"), F.lit(1), F.col("need")).alias("head"))
     heads = heads.groupBy("k").agg(F.min("head").alias("head"))
     n = F.length("text")
     took = F.floor(n / 3)
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - took), F.substring(F.col("head"), F.lit(1), took))
-    both = rows.join(heads, "k").select("k", "t", "text", edited.alias("edited"))
+    both = rows.join(heads, "k").select("k", F.xxhash64("text").alias("t"), "text", edited.alias("edited"))  # the same shuffle of (k, text)
     sha = F.sha2("edited", 256)
     parts = [F.conv(F.substring(sha, 16 * i + 1, 16), 16, -10).cast("long").alias(f"s{i}") for i in range(4)]
     both = both.select("k", "t", F.length("text").cast("long").alias("n_chars"), *parts, F.array("text", "edited").alias("texts"))
