@@ -329,6 +329,7 @@ def fit(texts: list[str], labels: np.ndarray, phases: tuple[tuple[float, float],
         taken = 0
         while taken < LEAST_STEPS:
             if phase or taken:
+                reader.gates = {}  # the old ones go first: both would be most of the driver's memory here
                 reader.gates = network.gates(network.vectors(word_rows, flat, sizes))
                 odds = reader.odds(windows)
             bad = [drawn(odds, first, n, sharp, r)[toxic] for _ in range(1 if sharp >= HARD else DRAWS)]
