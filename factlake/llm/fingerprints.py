@@ -143,7 +143,8 @@ def find_within(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, mem
         return F.struct(distance(F.col("hi"), F.col("lo"), x["hi"], x["lo"]).alias("distance"), x["hi"].alias("hi"), x["lo"].alias("lo"), x["n"].alias("n"))
 
     pairs = F.transform(F.filter("members", near), pair)
-    met = asked.join(rows, "b").select("hi", "lo", F.explode(F.filter(F.array(pairs), lambda x: F.size(x) > 0)).alias("found"))  # nothing of empty ones
+    # the optimizer takes the probes to be as small as the queries they are exploded from, so it would broadcast millions of rows
+    met = asked.join(rows.hint("merge"), "b").select("hi", "lo", F.explode(F.filter(F.array(pairs), lambda x: F.size(x) > 0)).alias("found"))  # nothing of empty ones
     found = met.groupBy("hi", "lo").agg(F.sort_array(F.flatten(F.collect_list("found"))).alias("found"))
     return found.select("hi", "lo", documents(F.col("found"), radius).alias("n"), "found")
 

@@ -247,6 +247,26 @@ def test_found_fingerprints_come_with_their_distance(spark):
     assert fewer["n"] == 1 + 2
 
 
+def test_probes_are_not_broadcast(spark):
+    """1,000 queries are 24 kB, but half a million probes: these don't fit a broadcast of 16 MB."""
+    rng = np.random.default_rng(15)
+    prints = np.unique(rng.integers(-(2**63), 2**63, (3000, 2)), axis=0)
+    prints[1500:] = prints[:1500] ^ (np.uint64(1) << rng.integers(0, 64, (1500, 2), dtype=np.uint64)).view(np.int64)  # near copies, 2 bits off
+    rows = [(int(hi), int(lo), i % 3 + 1) for i, (hi, lo) in enumerate(prints)]
+    df = spark.createDataFrame(rows, "hi bigint, lo bigint, n bigint").localCheckpoint()
+    asked = spark.createDataFrame([r[:2] for r in rows[1000:2000]], "hi bigint, lo bigint").distinct()
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "16m")
+    try:
+        got = {(x["hi"], x["lo"]): x["n"] for x in fingerprints.find_within(asked, df, fingerprints.NEAR).collect()}
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    n = np.array([r[2] for r in rows])
+    for hi, lo, _ in rows[1000:2000]:
+        differ = np.bitwise_count((prints ^ np.array([hi, lo])).view(np.uint64)).sum(axis=1)
+        assert got.pop((hi, lo)) == n[differ <= fingerprints.NEAR].sum()
+    assert not got
+
+
 # Quality rules
 
 
